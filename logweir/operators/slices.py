@@ -102,3 +102,8 @@ def with_neighbours(entries: DataFrame) -> DataFrame:
         F.coalesce("_previous", "_previous_range").alias("previous_line"),
         F.coalesce("_next", "_next_range").alias("next_line"),
     )
+
+
+def new_entries(seen: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries whose line was not seen before."""
+    return entries.join(seen, ORDER, "left_anti")
