@@ -126,7 +126,8 @@ def open_logs(spark: SparkSession, path: str | None = None) -> LogSet:
     """Open a folder of logs or one log (S5). Raises when there is nothing to open."""
     configure(spark)
     source = files.resolve_path(spark, path)
-    if source.name is None and files.file_catalog(spark, source).isEmpty():
+    # A rewritten folder was recognised by the logs in it.
+    if not (source.name or source.in_parts) and files.list_parts(spark, source).isEmpty():
         raise files.NoLogsFound(f"no log files in {source.folder}")
     return LogSet(spark, files.scan_lines(spark, source), source=source)
 

@@ -213,7 +213,7 @@ def statements() -> dict[str, str]:
     # scalar functions
     sql["split_message"] = on_events("SELECT file, line_number, head, rest FROM e")
     sql["previews"] = """SELECT doc_id, CASE WHEN strlen(text) <= 120 THEN text ELSE
-          left(text, list_max(list_filter(range(0, 118), n -> strlen(left(text, n)) <= 117))) || '...'
+          left(text, list_max([n for n in range(0, 118) if strlen(left(text, n)) <= 117])) || '...'
         END AS preview FROM documents"""
     sql["typed_dates"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3
         THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders"""

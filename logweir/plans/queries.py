@@ -16,7 +16,7 @@ from logweir.functions import json_walk, text, times
 from logweir.operators import delete, details, slices, summaries
 from logweir.operators.filters import LogFilter
 from logweir.plans.logset import LogSet, logs_of_lines, logs_of_text, open_logs
-from logweir.plans.render import document_texts, event_lines, rendered
+from logweir.plans.render import rendered, text_table
 from logweir.plans.session import configure, new_folder
 from logweir.sources.sinks import export_text
 
@@ -140,12 +140,12 @@ def assemble_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_offset(spark: SparkSession, sf: str) -> DataFrame:
     """Numbering goes on after ten lines read before."""
-    lines = event_lines(spark, sf).withColumn("line_number", F.col("line_number") + 10)
+    lines = text_table(spark, sf, "events").withColumn("line_number", F.col("line_number") + 10)
     return logs_of_lines(lines).headers().select(*KEY, "level", "message")
 
 
 def parse_text(spark: SparkSession, sf: str) -> DataFrame:
-    docs = document_texts(spark, sf).withColumnRenamed("line_number", "doc_id")
+    docs = text_table(spark, sf, "documents").withColumnRenamed("line_number", "doc_id")
     return logs_of_text(docs, "doc_id", "value").entries().select(
         "file", *long("line_number", "end_line"), "message", "extra_data"
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir import fixed
-from logweir.plans.logset import LogSet, logs_of_lines, open_logs
+from logweir.plans.logset import LogSet, open_logs
 from logweir.plans.session import new_folder
 from logweir.sources.sinks import in_line_order, write_logs
 
@@ -138,10 +138,23 @@ TEXTS = {
 }
 
 
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rendered texts as a stored table ``file, line_number, value``, made once."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        folder = new_folder(spark, f"texts-{name}")
+        TEXTS[name](spark, sf_dir).write.parquet(folder)
+        _TABLES[key] = spark.read.parquet(folder)
+    return _TABLES[key]
+
+
 def render(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Write one log set into the shared folder and give its path."""
     folder = new_folder(spark, f"rendered-{name}")
-    write_logs(in_line_order(TEXTS[name](spark, sf_dir)), folder)
+    write_logs(in_line_order(text_table(spark, sf_dir, name)), folder)
     return folder
 
 
@@ -155,7 +168,3 @@ def rendered(spark: SparkSession, sf_dir: str, name: str) -> LogSet:
         _OPENED[key] = open_logs(spark, render(spark, sf_dir, name))
     return _OPENED[key]
 
-
-def numbered_events(spark: SparkSession, sf_dir: str) -> LogSet:
-    """The events logs straight from the table, without files."""
-    return logs_of_lines(event_lines(spark, sf_dir))

@@ -153,7 +153,7 @@ def list_parts(spark: SparkSession, logs: LogPath) -> DataFrame:
 
 def _spread(rows: DataFrame, key: str) -> DataFrame:
     """Small rows that each stand for reading a file: over all cores, not one partition."""
-    width = rows.sparkSession.sparkContext.defaultParallelism * 4
+    width = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(width, key)
 
 
