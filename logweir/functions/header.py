@@ -2,6 +2,9 @@
 
 A line is a header when the pattern matches, the date exists, the weekday belongs to the
 date, the offset is a real one and the level is known. Any other line is a continuation.
+
+The functions take the name of the line column. They are SQL text, since a job uses them
+many times and one text is one call to the JVM.
 """
 
 from __future__ import annotations
@@ -12,127 +15,105 @@ from pyspark.sql import functions as F
 from logweir import fixed
 
 
-def position_in(names: list[str], value: Column) -> Column:
-    """1-based position of ``value`` in ``names``, null when it is not there."""
-    return F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), value), F.lit(0))
+def _names(names: list[str]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+def _place(names: list[str], text: str) -> str:
+    """1-based position of a name in any case, 0 when unknown."""
+    lower = _names([n.lower() for n in names])
+    return f"cast(array_position(array({lower}), lower({text})) as int)"
+
+
+def _number(line: str, start: int, length: int) -> str:
+    return f"try_cast(substring({line}, {start}, {length}) as int)"
 
 
 def severity(level: Column) -> Column:
     """0 for EMERGENCY up to 7 for DEBUG; case is ignored, unknown names give null."""
-    return (position_in(fixed.LEVELS, F.upper(level)) - 1).cast("int")
+    place = F.array_position(F.array(*[F.lit(n) for n in fixed.LEVELS]), F.upper(level))
+    return (F.nullif(place, F.lit(0)) - 1).cast("int")
 
 
 def parse_level(name: Column) -> Column:
     """Upper-case level name, or null when the name is unknown."""
-    upper = F.upper(name)
-    return F.when(position_in(fixed.LEVELS, upper).isNotNull(), upper)
-
+    return F.when(severity(name).isNotNull(), F.upper(name))
 
-def strip_cr(line: Column) -> Column:
-    """Drop the one carriage return a CRLF line leaves behind."""
-    return F.when(
-        F.endswith(line, F.lit("\r")), F.left(line, F.char_length(line) - 1)
-    ).otherwise(line)
 
-
-def clean_line(line: Column) -> Column:
-    """Line text as the parser sees it: no line end, broken UTF-8 replaced."""
-    return F.make_valid_utf8(strip_cr(line))
+def clean_line(line: str) -> Column:
+    """Line text as the parser sees it: without the one carriage return a CRLF end leaves,
+    and with broken UTF-8 replaced."""
+    return F.expr(
+        f"make_valid_utf8(if(endswith({line}, '\\r'), left({line}, char_length({line}) - 1), {line}))"
+    )
 
 
-def is_blank(line: Column) -> Column:
+def is_blank(line: str) -> Column:
     """True when the line has only Unicode white space."""
-    return line.rlike(r"(?U)\A\s*\z")
-
-
-def _digits(line: Column, start: int, length: int) -> Column:
-    return F.substring(line, start, length).try_cast("int")
-
-
-def looks_like_header(line: Column) -> Column:
-    """Pattern test only. The cheap bracket test comes first and rules out most lines."""
-    bracket = F.substring(line, fixed.LEVEL_BRACKET_POSITION, 1) == "["
-    return bracket & line.rlike(fixed.HEADER_PATTERN)
+    return F.expr(rf"{line} rlike r'(?U)\A\s*\z'")
 
 
-def _zone_parts(line: Column) -> tuple[Column, Column]:
-    return _digits(line, 28, 2), _digits(line, 30, 2)
-
-
-def _day(line: Column) -> Column:
+def _day(line: str) -> str:
     """Calendar day of the date part, null when there is no such day."""
-    year, day = _digits(line, 13, 4), _digits(line, 6, 2)
-    month = _place(fixed.MONTHS, F.substring(line, 9, 3))
-    midnight = F.try_make_timestamp_ntz(year, month, day, F.lit(0), F.lit(0), F.lit(0))
-    return midnight.cast("date")
+    month = _place(fixed.MONTHS, f"substring({line}, 9, 3)")
+    year, day = _number(line, 13, 4), _number(line, 6, 2)
+    return f"cast(try_make_timestamp_ntz({year}, {month}, {day}, 0, 0, 0) as date)"
 
 
-def _place(names: list[str], text: Column) -> Column:
-    """1-based position of a name in any case, 0 when unknown."""
-    return F.array_position(
-        F.array(*[F.lit(n.lower()) for n in names]), F.lower(text)
-    ).cast("int")
-
-
-def has_valid_date(line: Column) -> Column:
-    """The day exists, carries its right weekday name, and time and offset are in range."""
-    day = _day(line)
-    named_day = _place(fixed.WEEKDAYS, F.substring(line, 1, 3))
-    hour, minute, second = _digits(line, 18, 2), _digits(line, 21, 2), _digits(line, 24, 2)
-    zone_hour, zone_minute = _zone_parts(line)
-    return (
-        (F.weekday(day) + 1 == named_day)
-        & (hour <= 23) & (minute <= 59) & (second <= 60)
-        & (zone_hour <= 23) & (zone_minute <= 59)
-    )
-
+def _level(line: str) -> str:
+    """Text in the level brackets. Longer texts than any level are cut and so unknown."""
+    longest = max(len(name) for name in fixed.LEVELS) + 2
+    return f"substring_index(substring({line}, {fixed.LEVEL_BRACKET_POSITION + 1}, {longest}), ']', 1)"
 
-def parse_timestamp(line: Column) -> tuple[Column, Column, Column]:
-    """(wall clock, offset in minutes, instant) of a line with a valid date.
 
-    Nothing here goes through the session time zone. A leap second counts as the first
-    second of the next minute.
-    """
-    hour, minute, second = _digits(line, 18, 2), _digits(line, 21, 2), _digits(line, 24, 2)
-    zone_hour, zone_minute = _zone_parts(line)
-    sign = F.when(F.substring(line, 27, 1) == "-", -1).otherwise(1)
-    zone = sign * (zone_hour * 60 + zone_minute)
-    in_day = hour * 3600 + minute * 60 + second
-    local = F.unix_date(_day(line)) * F.lit(86400).cast("bigint") + in_day
-    wall = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=local)
-    return wall, zone, F.timestamp_seconds(local - zone * 60)
+def looks_like_header(line: str) -> Column:
+    """Pattern test only. The cheap bracket test comes first and rules out most lines."""
+    return F.expr(_looks_like_header(line))
 
 
-def level_text(line: Column) -> Column:
-    """Text in the level brackets. Longer texts than any level are cut and so unknown."""
-    longest = max(len(name) for name in fixed.LEVELS) + 2
-    inside = F.substring(line, fixed.LEVEL_BRACKET_POSITION + 1, longest)
-    return F.substring_index(inside, "]", 1)
+def _looks_like_header(line: str) -> str:
+    bracket = f"substring({line}, {fixed.LEVEL_BRACKET_POSITION}, 1) = '['"
+    return f"{bracket} and {line} rlike r'{fixed.HEADER_PATTERN}'"
 
 
-def is_header(line: Column) -> Column:
-    """True or false, never null."""
-    known_level = level_text(line).isin(fixed.LEVELS)
-    accepted = looks_like_header(line) & known_level & has_valid_date(line)
-    return F.coalesce(accepted, F.lit(False))
+def is_header(line: str) -> Column:
+    """True or false, never null. Day, weekday name, time and offset have to be right."""
+    named_day = _place(fixed.WEEKDAYS, f"substring({line}, 1, 3)")
+    return F.expr(
+        f"""coalesce({_looks_like_header(line)}
+        and {_level(line)} in ({_names(fixed.LEVELS)})
+        and {_number(line, 18, 2)} <= 23 and {_number(line, 21, 2)} <= 59
+        and {_number(line, 24, 2)} <= 60
+        and {_number(line, 28, 2)} <= 23 and {_number(line, 30, 2)} <= 59
+        and weekday({_day(line)}) + 1 = {named_day}, false)"""
+    )
 
 
-def header_columns(line: Column) -> list[Column]:
-    """Typed fields of a line that ``is_header`` accepts.
+def header_columns(line: str) -> list[Column]:
+    """Typed fields of a line that ``is_header`` accepts; meaningless on other lines.
 
-    The pattern forbids quotes in the request and component fields, so one split at the
-    first four quotes yields all three text fields. On other lines the values mean nothing.
+    Nothing goes through the session time zone. A leap second counts as the first second
+    of the next minute. The pattern forbids quotes in the request and component fields, so
+    one split at the first four quotes yields all three text fields.
     """
-    wall, zone, instant = parse_timestamp(line)
-    level = level_text(line)
-    pieces = F.split(line, '"', 5)
-    return [
-        instant.alias("ts"),
-        wall.alias("ts_local"),
-        zone.alias("tz_offset_min"),
-        level.alias("level"),
-        severity(level).alias("severity"),
-        F.nullif(F.get(pieces, 1), F.lit("")).alias("request_id"),
-        F.get(pieces, 3).alias("component"),
-        F.substring(F.get(pieces, 4), 3, 2147483647).alias("message"),
-    ]
+    hour, minute, second = (_number(line, at, 2) for at in (18, 21, 24))
+    sign = f"if(substring({line}, 27, 1) = '-', -1, 1)"
+    zone = f"{sign} * ({_number(line, 28, 2)} * 60 + {_number(line, 30, 2)})"
+    local = (
+        f"(cast(unix_date({_day(line)}) as bigint) * 86400"
+        f" + {hour} * 3600 + {minute} * 60 + {second})"
+    )
+    pieces = f"split({line}, '\"', 5)"
+    level = _level(line)
+    place = f"array_position(array({_names(fixed.LEVELS)}), {level})"
+    columns = {
+        "ts": f"timestamp_seconds({local} - ({zone}) * 60)",
+        "ts_local": f"timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, {local})",
+        "tz_offset_min": zone,
+        "level": level,
+        "severity": f"cast({place} - 1 as int)",
+        "request_id": f"nullif(get({pieces}, 1), '')",
+        "component": f"get({pieces}, 3)",
+        "message": f"substring(get({pieces}, 4), 3)",
+    }
+    return [F.expr(f"{text} as {name}") for name, text in columns.items()]

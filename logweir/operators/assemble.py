@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.functions.header import header_columns, is_blank, is_header
-from logweir.operators.numbering import clean
+from logweir.functions.header import clean_line, header_columns, is_blank, is_header
 
 HEADER_FIELDS = [
     "file", "line_number", "ts", "ts_local", "tz_offset_min", "level", "severity",
@@ -27,9 +26,9 @@ ENTRY_FIELDS = [
 
 def headers(lines: DataFrame, *carry: str) -> DataFrame:
     """One row per entry with the fields of its header line; ``carry`` keeps columns."""
-    text = lines.withColumn("value", clean())
-    return text.where(is_header(F.col("value"))).select(
-        "file", "line_number", *header_columns(F.col("value")), *carry
+    text = lines.withColumn("value", clean_line("value"))
+    return text.where(is_header("value")).select(
+        "file", "line_number", *header_columns("value"), *carry
     )
 
 
@@ -41,9 +40,9 @@ def assemble(lines: DataFrame, partitions: int | None = None) -> DataFrame:
     up to the next header.
     """
     owned = lines.where(F.col("owner_no").isNotNull()).select(
-        "file", "owner_no", "line_number", clean().alias("value")
+        "file", "owner_no", "line_number", clean_line("value").alias("value")
     )
-    owned = owned.withColumn("is_head", is_header(F.col("value")))
+    owned = owned.withColumn("is_head", is_header("value"))
     if partitions:
         owned = owned.repartition(partitions, "file", "owner_no")
     so_far = (
@@ -53,9 +52,10 @@ def assemble(lines: DataFrame, partitions: int | None = None) -> DataFrame:
     )
     head_line = F.max(F.when(F.col("is_head"), F.col("line_number"))).over(so_far)
     tail = ~F.col("is_head")
-    written = tail & ~is_blank(F.col("value"))
+    written = tail & ~is_blank("value")
     grouped = (
         owned.withColumn("head_line", head_line)
+        .where(F.col("head_line").isNotNull())
         .groupBy("file", "owner_no", "head_line")
         .agg(
             F.max(F.when(F.col("is_head"), F.col("value"))).alias("head"),
@@ -80,6 +80,6 @@ def assemble(lines: DataFrame, partitions: int | None = None) -> DataFrame:
         "file",
         F.col("head_line").alias("line_number"),
         "end_line",
-        *header_columns(F.col("head")),
+        *header_columns("head"),
         extra.alias("extra_data"),
     )

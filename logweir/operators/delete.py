@@ -13,9 +13,9 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.functions.header import header_columns, is_header
+from logweir.functions.header import clean_line, header_columns, is_header
 from logweir.operators.filters import LogFilter
-from logweir.operators.numbering import broadcast_if_small, clean
+from logweir.operators.numbering import broadcast_if_small
 from logweir.sources.files import LogPath, list_parts
 from logweir.sources.sinks import keep_emptied, write_logs
 
@@ -48,9 +48,9 @@ def whole_file(file: str) -> Column:
 
 def _with_verdict(lines: DataFrame, doomed: Column) -> DataFrame:
     """Adds ``verdict``: true or false on a header line, null on any other line."""
-    text = lines.withColumn("_text", clean())
-    typed = text.select("*", *header_columns(F.col("_text")))
-    verdict = F.when(is_header(F.col("_text")), F.coalesce(doomed, F.lit(False)))
+    text = lines.withColumn("_text", clean_line("value"))
+    typed = text.select("*", *header_columns("_text"))
+    verdict = F.when(is_header("_text"), F.coalesce(doomed, F.lit(False)))
     return typed.select(*lines.columns, verdict.alias("verdict"))
 
 

@@ -30,9 +30,11 @@ def block_index(raw: DataFrame, numbered: bool = False) -> DataFrame:
 
     ``numbered`` says that ``pos`` already is the line number of the line.
     """
-    head_pos = F.when(is_header(clean_line(F.col("value"))), F.col("pos"))
-    blocks = raw.groupBy("file", "part_no", *BLOCK_KEYS).agg(
+    text = raw.withColumn("text", clean_line("value"))
+    head_pos = F.expr("if(is_head, pos, null)")
+    blocks = text.withColumn("is_head", is_header("text")).groupBy("file", "part_no", *BLOCK_KEYS).agg(
         F.count(F.lit(1)).alias("n_lines"),
+        F.sum(F.octet_length("value") + 1).alias("n_bytes"),
         F.min("pos").alias("first_pos"),
         F.max("pos").alias("last_pos"),
         F.count(head_pos).alias("n_heads"),
@@ -85,7 +87,3 @@ def number_lines(raw: DataFrame, index: DataFrame, index_rows: int) -> DataFrame
         checked(F.col("block_no")).alias("block_no"),
         owner.alias("owner_no"),
     )
-
-
-def clean(line: str = "value") -> Column:
-    return clean_line(F.col(line))

@@ -74,11 +74,11 @@ def tail_timestamp(texts: DataFrame) -> DataFrame:
     """Time of the last header found in the last bytes of each log (A3, byte limit)."""
     lines = texts.select(
         "file", "part_no", "part", F.posexplode(F.split("text", "\n")).alias("at", "line")
-    ).withColumn("line", clean_line(F.col("line")))
-    heads = lines.where(is_header(F.col("line"))).select(
+    ).withColumn("line", clean_line("line"))
+    heads = lines.where(is_header("line")).select(
         "file",
         F.struct("part_no", "part", "at").alias("place"),
-        *header_columns(F.col("line")),
+        *header_columns("line"),
     )
     return last_timestamp(heads)
 

@@ -8,18 +8,24 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.functions.header import is_header
+from logweir.functions.header import clean_line, is_header
 from logweir.operators import assemble as asm
 from logweir.operators import delete, summaries
 from logweir.operators.filters import LogFilter
-from logweir.operators.numbering import block_index, broadcast_if_small, clean, number_lines
+from logweir.operators.numbering import block_index, broadcast_if_small, number_lines
 from logweir.plans.session import configure, new_folder
 from logweir.sources import files
 
+# Text per task of a shuffle.
+TASK_BYTES = 128 * 1024 * 1024
+
 
 class LogSet:
     """Lines, headers and entries over raw lines.
 
+    ``numbered`` says that positions are line numbers already; ``whole`` that no log is
+    cut into blocks, so that nothing has to be carried from block to block.
+
     The block index is built by one scan on first use and kept as a small table in the
     shared folder, so later jobs read the text once and survive a lost executor.
     """
@@ -29,11 +35,13 @@ class LogSet:
         spark: SparkSession,
         raw: DataFrame,
         numbered: bool = False,
+        whole: bool = False,
         source: files.LogPath | None = None,
     ) -> None:
         self.spark = configure(spark)
         self.raw = raw
         self.numbered = numbered
+        self.whole = whole
         self.source = source
 
     # ------------------------------------------------------------------ index and lines
@@ -45,18 +53,35 @@ class LogSet:
         return self.spark.read.parquet(folder)
 
     @cached_property
+    def size(self) -> tuple[int, int]:
+        """(blocks, bytes of text). The number of blocks is the proven size of everything
+        that is broadcast here."""
+        row = self.index.agg(
+            F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")
+        ).first()
+        return row["blocks"], row["bytes"]
+
+    @property
     def blocks(self) -> int:
-        """Number of blocks: the proven size of everything that is broadcast here."""
-        return self.index.count()
+        return self.size[0]
 
     @property
     def partitions(self) -> int | None:
-        """Shuffle width for text: one block per task once that beats the session's width."""
+        """Shuffle width for text where the session's width would make tasks too big."""
+        if self.whole:
+            return None
         width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return self.blocks if self.blocks > width else None
+        needed = -(-self.size[1] // TASK_BYTES)
+        return needed if needed > width else None
 
     def lines(self) -> DataFrame:
         """``file, line_number, value, block_no, owner_no`` of every line."""
+        if self.whole:
+            one = F.lit(1).cast("bigint")
+            return self.raw.select(
+                "file", F.col("pos").alias("line_number"), "value", one.alias("block_no"),
+                one.alias("owner_no"),
+            )
         return number_lines(self.raw, self.index, self.blocks)
 
     # --------------------------------------------------------------- headers and entries
@@ -71,10 +96,10 @@ class LogSet:
 
     def unnumbered_headers(self, where: LogFilter | None = None) -> DataFrame:
         """Header fields without line numbers, for counts: needs no index at all."""
-        text = self.raw.withColumn("value", clean())
+        text = self.raw.withColumn("value", clean_line("value"))
         order = F.struct("part_no", "part", "block", "pos").alias("place")
-        heads = text.where(is_header(F.col("value"))).select(
-            "file", order, *asm.header_columns(F.col("value"))
+        heads = text.where(is_header("value")).select(
+            "file", order, *asm.header_columns("value")
         )
         return heads.where(where.to_column()) if where else heads
 
@@ -85,7 +110,7 @@ class LogSet:
         if where is None or not where.is_active:
             return asm.assemble(lines, self.partitions)
         wanted = self._heads(where).select("file", "owner_no").distinct()
-        side = broadcast_if_small(wanted, self.blocks)
+        side = wanted if self.whole else broadcast_if_small(wanted, self.blocks)
         kept = lines.join(side, ["file", "owner_no"], "left_semi")
         return asm.assemble(kept, self.partitions).where(where.to_column())
 
@@ -134,7 +159,8 @@ def open_logs(spark: SparkSession, path: str | None = None) -> LogSet:
 
 def logs_of_text(df: DataFrame, key: str, text: str) -> LogSet:
     """Parse logs held in a table column, one log per row."""
-    return LogSet(df.sparkSession, files.lines_of_text(df, key, text), numbered=True)
+    raw = files.lines_of_text(df, key, text)
+    return LogSet(df.sparkSession, raw, numbered=True, whole=True)
 
 
 def logs_of_lines(df: DataFrame) -> LogSet:

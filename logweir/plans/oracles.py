@@ -376,4 +376,21 @@ def statements() -> dict[str, str]:
           || chr(10) || 'Zusätzliche Daten:' || chr(10) || chr(10) || text, chr(10))) AS value FROM c)
         GROUP BY value"""
     )
+
+    # streaming
+    looks = """looks AS (SELECT file, CAST(max(end_line) // 2 AS BIGINT) AS cut FROM d GROUP BY file)"""
+    sql["tail_growing"] = on_documents(
+        """SELECT file, line_number, end_line, CAST(1 AS BIGINT) AS generation, level, message,
+          text AS extra_data, line_number > cut AS is_new FROM d JOIN looks USING (file)""",
+        looks,
+    )
+    sql["tail_rotated"] = on_documents(
+        """SELECT file, line_number, CAST(2 AS BIGINT) AS generation, level, FALSE AS is_new
+        FROM d JOIN looks USING (file) WHERE line_number <= cut""",
+        looks,
+    )
+    sql["tail_filtered"] = on_events(
+        """SELECT file, line_number, level, message, FALSE AS is_new FROM e
+        WHERE severity <= 4 AND contains(message, 'amount 2')"""
+    )
     return sql

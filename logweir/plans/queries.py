@@ -16,9 +16,10 @@ from logweir.functions import json_walk, text, times
 from logweir.operators import delete, details, slices, summaries
 from logweir.operators.filters import LogFilter
 from logweir.plans.logset import LogSet, logs_of_lines, logs_of_text, open_logs
-from logweir.plans.render import rendered, text_table
+from logweir.plans.render import publish, rendered, text_table
 from logweir.plans.session import configure, new_folder
 from logweir.sources.sinks import export_text
+from logweir.streaming.tailing import catch_up
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -475,6 +476,51 @@ def export_details(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.text(new).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ------------------------------------------------------------------------------- streaming
+
+
+def _looks(spark: SparkSession, sf: str) -> tuple[str, DataFrame, DataFrame]:
+    """(working folder, lines of a first look, all lines) of the documents logs; the first
+    look ends in the middle of every log, mostly inside an entry."""
+    log = documents(spark, sf)
+    half = log.row_counts().select("file", F.floor(F.col("lines_read") / 2).alias("cut"))
+    lines = log.lines().select(*KEY, "value").join(half, "file")
+    return new_folder(spark, "tail"), lines.where(F.col("line_number") <= F.col("cut")), lines
+
+
+def tail_growing(spark: SparkSession, sf: str) -> DataFrame:
+    """State after two looks at growing logs: numbers, open entries and marks carry on."""
+    base, first, every = _looks(spark, sf)
+    publish(first, f"{base}/logs")
+    catch_up(spark, f"{base}/logs", f"{base}/out", f"{base}/checkpoint")
+    publish(every, f"{base}/logs")
+    state = catch_up(spark, f"{base}/logs", f"{base}/out", f"{base}/checkpoint")
+    return state.current_entries().select(
+        *KEY, "end_line", *long("generation"), "level", "message", "extra_data", "is_new"
+    )
+
+
+def tail_rotated(spark: SparkSession, sf: str) -> DataFrame:
+    """State after the logs were replaced by shorter ones: counted from line 1, unmarked."""
+    base, first, every = _looks(spark, sf)
+    publish(every, f"{base}/logs")
+    catch_up(spark, f"{base}/logs", f"{base}/out", f"{base}/checkpoint")
+    publish(first, f"{base}/logs")
+    state = catch_up(spark, f"{base}/logs", f"{base}/out", f"{base}/checkpoint")
+    return state.current_entries().select(*KEY, *long("generation"), "level", "is_new")
+
+
+def tail_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """A filter on the stream; the events arrive at once, in many chunks."""
+    base = new_folder(spark, "tail")
+    publish(events(spark, sf).lines().select(*KEY, "value"), f"{base}/logs")
+    where = LogFilter(min_level="WARNING", search_text="amount 2")
+    state = catch_up(
+        spark, f"{base}/logs", f"{base}/out", f"{base}/checkpoint", where=where, chunk_bytes=100_000
+    )
+    return state.current_entries(where).select(*KEY, "level", "message", "is_new")
+
+
 def _configured(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return query(configure(spark), sf_dir)
@@ -495,7 +541,8 @@ def registered() -> dict[str, Query]:
         head, page, positions, marked_slice, neighbours, query_summary, delete_preview,
         last_timestamps, recency, request_summary, template_summary, template_summary_events,
         level_summary, new_entries, delete_one_entry, delete_range, delete_by_filter,
-        entries_after_delete, truncate_log, export_details,
+        entries_after_delete, truncate_log, export_details, tail_growing, tail_rotated,
+        tail_filtered,
     ]
     found = {q.__name__: q for q in plain}
     found |= {name: filter_query(where) for name, where in FILTERS.items()}

@@ -11,6 +11,9 @@ crashes        one log per language; header and one JSON line with an ``exceptio
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from logweir import fixed
 from logweir.plans.logset import LogSet, open_logs
 from logweir.plans.session import new_folder
 from logweir.sources.sinks import in_line_order, write_logs
+from logweir.sources.storage import locate
 
 EVENTS_PER_LOG = 4096
 EVENT_LEVELS = {
@@ -151,6 +155,34 @@ def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _TABLES[key]
 
 
+def publish(lines: DataFrame, folder: str) -> None:
+    """Put logs ``file, line_number, value`` into a folder as plain files, as a log writer
+    would. A file appears whole, so a repeated task only writes the same file again."""
+    root = locate(folder)[1]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = locate(folder)
+        files.create_dir(root, recursive=True)
+        name, out = None, None
+        for batch in batches:
+            for file, value in zip(*(batch.column(c).to_pylist() for c in ("file", "value"))):
+                if file != name:
+                    if out is not None:
+                        out.close()
+                        files.move(f"{root}/.{name}", f"{root}/{name}")
+                    name, out = file, files.open_output_stream(f"{root}/.{file}")
+                out.write(value.encode() + b"\n")
+        if out is not None:
+            out.close()
+            files.move(f"{root}/.{name}", f"{root}/{name}")
+        yield from ()
+
+    ordered = lines.repartition("file").sortWithinPartitions("file", "line_number")
+    ordered.select("file", "value").mapInArrow(write, "done boolean").write.format("noop").mode(
+        "overwrite"
+    ).save()
+
+
 def render(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Write one log set into the shared folder and give its path."""
     folder = new_folder(spark, f"rendered-{name}")
