@@ -13,10 +13,11 @@ MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 
 # One header line, e.g.
 # Thu, 02 Apr 2026 12:00:02 +0200 [ERROR] request="043d54b20b2e8" component="Shop.Cart": text
-# (?s) lets the message hold a carriage return, \A and \z tie both ends.
+# Number ranges and names are in the pattern, so that one pass decides all but the calendar.
 HEADER_PATTERN = (
-    r'(?s)\A[A-Za-z]{3}, [0-9]{2} [A-Za-z]{3} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2} '
-    r'[+-][0-9]{4} \[[A-Z]+\] request="[^"]*" component="[^"]*": .*\z'
+    rf"\A(?i:{'|'.join(WEEKDAYS)}), (?:0[1-9]|[12][0-9]|3[01]) (?i:{'|'.join(MONTHS)}) [0-9]{{4}} "
+    r"(?:[01][0-9]|2[0-3]):[0-5][0-9]:(?:[0-5][0-9]|60) [+-](?:[01][0-9]|2[0-3])[0-5][0-9] "
+    rf'\[(?:{"|".join(LEVELS)})\] request="[^"]*" component="[^"]*": '
 )
 LEVEL_BRACKET_POSITION = 33  # 1-based; the date part always has 32 characters
 

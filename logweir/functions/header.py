@@ -1,7 +1,7 @@
 """Header parsing with built-in expressions.
 
-A line is a header when the pattern matches, the date exists, the weekday belongs to the
-date, the offset is a real one and the level is known. Any other line is a continuation.
+A line is a header when the pattern matches (known level, time and offset in range), the
+date exists and falls on the named weekday. Any other line is a continuation.
 
 The functions take the name of the line column. They are SQL text, since a job uses them
 many times and one text is one call to the JVM.
@@ -53,16 +53,19 @@ def is_blank(line: str) -> Column:
     return F.expr(rf"{line} rlike r'(?U)\A\s*\z'")
 
 
+def _wall(line: str, time: str) -> str:
+    month = _place(fixed.MONTHS, f"substring({line}, 9, 3)")
+    return f"try_make_timestamp_ntz({_number(line, 13, 4)}, {month}, {_number(line, 6, 2)}, {time})"
+
+
 def _day(line: str) -> str:
     """Calendar day of the date part, null when there is no such day."""
-    month = _place(fixed.MONTHS, f"substring({line}, 9, 3)")
-    year, day = _number(line, 13, 4), _number(line, 6, 2)
-    return f"cast(try_make_timestamp_ntz({year}, {month}, {day}, 0, 0, 0) as date)"
+    return f"cast({_wall(line, '0, 0, 0')} as date)"
 
 
 def _level(line: str) -> str:
-    """Text in the level brackets. Longer texts than any level are cut and so unknown."""
-    longest = max(len(name) for name in fixed.LEVELS) + 2
+    """Text in the level brackets of a header."""
+    longest = max(len(name) for name in fixed.LEVELS) + 1
     return f"substring_index(substring({line}, {fixed.LEVEL_BRACKET_POSITION + 1}, {longest}), ']', 1)"
 
 
@@ -77,15 +80,10 @@ def _looks_like_header(line: str) -> str:
 
 
 def is_header(line: str) -> Column:
-    """True or false, never null. Day, weekday name, time and offset have to be right."""
+    """True or false, never null. The day has to exist and to fall on the named weekday."""
     named_day = _place(fixed.WEEKDAYS, f"substring({line}, 1, 3)")
     return F.expr(
-        f"""coalesce({_looks_like_header(line)}
-        and {_level(line)} in ({_names(fixed.LEVELS)})
-        and {_number(line, 18, 2)} <= 23 and {_number(line, 21, 2)} <= 59
-        and {_number(line, 24, 2)} <= 60
-        and {_number(line, 28, 2)} <= 23 and {_number(line, 30, 2)} <= 59
-        and weekday({_day(line)}) + 1 = {named_day}, false)"""
+        f"coalesce({_looks_like_header(line)} and weekday({_day(line)}) + 1 = {named_day}, false)"
     )
 
 
@@ -108,7 +106,7 @@ def header_columns(line: str) -> list[Column]:
     place = f"array_position(array({_names(fixed.LEVELS)}), {level})"
     columns = {
         "ts": f"timestamp_seconds({local} - ({zone}) * 60)",
-        "ts_local": f"timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, {local})",
+        "ts_local": _wall(line, f"{hour}, {minute}, {second}"),
         "tz_offset_min": zone,
         "level": level,
         "severity": f"cast({place} - 1 as int)",

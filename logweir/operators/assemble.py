@@ -62,7 +62,7 @@ def assemble(lines: DataFrame, partitions: int | None = None) -> DataFrame:
             F.max("line_number").alias("end_line"),
             F.min(F.when(written, F.col("line_number"))).alias("first_text"),
             F.max(F.when(written, F.col("line_number"))).alias("last_text"),
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.when(tail, F.struct("line_number", "value")))
             ).alias("tail"),
         )

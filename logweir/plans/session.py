@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -15,6 +17,8 @@ def configure(spark: SparkSession) -> SparkSession:
     partitions is pinned, so that two scans of one log are cut alike even when executors
     come and go in between.
     """
+    # The few Python helpers travel to tasks by value: executors need no copy of the package.
+    cloudpickle.register_pickle_by_value(sys.modules["logweir"])
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         parallelism = spark.sparkContext.defaultParallelism
