@@ -5,7 +5,7 @@ They rely on ``configure``: repeated keys are legal and the last one counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,16 +18,27 @@ def strict_json(text: Column) -> Column:
     """
     in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(
-        in_array.isNotNull() & in_object.isNotNull(),
-        F.try_variant_get(in_object, "$.v", "variant"),
+    return F.when(in_array.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
+
+
+def from_first_bracket(message: Column) -> Column:
+    """The message from its first opening bracket on, null without one."""
+    return F.nullif(F.regexp_extract(message, r"(?s)[{\[].*", 0), F.lit(""))
+
+
+def trailing_json(rest: Column) -> Column:
+    """Compact text of the JSON value ``rest`` is, or its first line is; else null."""
+    first_line = F.substring_index(rest, "\n", 1)
+    value = F.coalesce(
+        strict_json(rest), F.when(F.contains(rest, F.lit("\n")), strict_json(first_line))
     )
+    return F.to_json(value)
 
 
-def _first_bracket(message: Column) -> Column:
-    """Position of the first opening bracket, counted in characters, or 0."""
-    before = F.char_length(F.regexp_extract(message, r"(?s)\A[^{\[]*", 0))
-    return F.when(F.char_length(message) > before, before + 1).otherwise(0)
+def text_before(message: Column, rest: Column) -> Column:
+    """The message before its JSON, without the spaces, dashes and colons in between."""
+    head = F.left(message, F.char_length(message) - F.char_length(rest))
+    return F.regexp_replace(head, r"[ :-]+\z", "")
 
 
 def extract_json(message: Column) -> tuple[Column, Column]:
@@ -36,13 +47,18 @@ def extract_json(message: Column) -> tuple[Column, Column]:
     The JSON starts at the first opening bracket. When the rest of the message is not one
     value, the rest of that line is tried.
     """
-    at = _first_bracket(message)
-    rest = F.when(at > 0, F.substr(message, at))
-    first_line = F.when(F.contains(rest, F.lit("\n")), F.substring_index(rest, "\n", 1))
-    value = F.coalesce(strict_json(rest), strict_json(first_line))
-    text = F.to_json(value)
-    head = F.when(text.isNotNull(), F.regexp_replace(F.left(message, at - 1), r"[ :-]+\z", ""))
-    return head, text
+    rest = from_first_bracket(message)
+    json = trailing_json(rest)
+    return F.when(json.isNotNull(), text_before(message, rest)), json
+
+
+def with_json(df: DataFrame, message: str = "message") -> DataFrame:
+    """``extract_json`` as columns ``json_head`` and ``json``, made step by step so that a
+    value used several times is parsed once."""
+    found = df.withColumn("_rest", from_first_bracket(F.col(message)))
+    found = found.withColumn("json", trailing_json(F.col("_rest")))
+    head = F.when(F.col("json").isNotNull(), text_before(F.col(message), F.col("_rest")))
+    return found.withColumn("json_head", head).drop("_rest")
 
 
 def normalize_json(text: Column) -> Column:

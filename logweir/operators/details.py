@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir import fixed
-from logweir.functions.json import extract_json, normalize_json
+from logweir.functions.json import extract_json, normalize_json, with_json
 from logweir.functions.json_walk import hide_exception, json_blocks, json_fields
 from logweir.functions.text import request_label
 from logweir.functions.times import full_timestamp, shift_hours
@@ -41,16 +41,11 @@ def fields_of_entries(
     )
 
 
-def detail_text(hours: int = 0, show_exception: bool = False) -> Column:
-    """Detail block of an entry as one text; JSON is compact, see ``normalize_json``."""
+def detail_block(head: Column, json: Column, extra: Column, hours: int) -> Column:
+    """Detail text of an entry from the pieces of its message and its continuation text."""
     label = fixed.DETAIL_LABELS
-    head, json = extract_json(F.col("message"))
-    extra = normalize_json(F.col("extra_data"))
-    if not show_exception:
-        json, extra = hide_exception(json), hide_exception(extra)
     time = full_timestamp(shift_hours(F.col("ts_local"), hours))
     note = fixed.SHIFT_NOTE % hours if hours else ""
-    blank = F.lit("")
     return F.concat_ws(
         "\n",
         F.concat(F.lit(label["time"]), time, F.lit(note)),
@@ -58,19 +53,29 @@ def detail_text(hours: int = 0, show_exception: bool = False) -> Column:
         F.concat(F.lit(label["request"]), request_label(F.col("request_id"))),
         F.concat(F.lit(label["component"]), "component"),
         F.concat(F.lit(label["line"]), F.col("line_number").cast("string")),
-        blank,
+        F.lit(""),
         # concat_ws leaves nulls out, so each part is there only when it applies.
         F.when(json.isNull(), F.col("message")),
-        F.when(F.nullif(head, blank).isNotNull(), F.concat(head, F.lit("\n"))),
+        F.when(head != "", F.concat(head, F.lit("\n"))),
         F.when(json.isNotNull(), F.concat(F.lit(label["json"] + "\n\n"), json)),
-        F.when(
-            F.col("extra_data").isNotNull(),
-            F.concat(F.lit("\n" + label["extra"] + "\n\n"), extra),
-        ),
+        F.when(extra.isNotNull(), F.concat(F.lit("\n" + label["extra"] + "\n\n"), extra)),
     )
 
 
+def detail_text(hours: int = 0, show_exception: bool = False) -> Column:
+    """Detail text of an entry; JSON is compact, see ``normalize_json``."""
+    head, json = extract_json(F.col("message"))
+    extra = normalize_json(F.col("extra_data"))
+    if not show_exception:
+        json, extra = hide_exception(json), hide_exception(extra)
+    return detail_block(head, json, extra, hours)
+
+
 def with_detail(entries: DataFrame, hours: int = 0, show_exception: bool = False) -> DataFrame:
-    return entries.select(
-        "file", "line_number", detail_text(hours, show_exception).alias("detail")
-    )
+    """``file, line_number, detail``: ``detail_text`` made step by step, JSON parsed once."""
+    parsed = with_json(entries).withColumn("extra", normalize_json(F.col("extra_data")))
+    if not show_exception:
+        for name in ("json", "extra"):
+            parsed = parsed.withColumn(name, hide_exception(F.col(name)))
+    block = detail_block(F.col("json_head"), F.col("json"), F.col("extra"), hours)
+    return parsed.select("file", "line_number", block.alias("detail"))

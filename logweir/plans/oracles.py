@@ -210,6 +210,11 @@ def statements() -> dict[str, str]:
         WHERE severity <= 2 AND contains(lower(component), 'docs.src1')"""
     )
 
+    sql["filtered_store"] = on_events(
+        f"""SELECT file, line_number, level, message, CAST(ts_local AS VARCHAR) AS ts_local FROM e
+        WHERE severity <= 4 AND {DAY} BETWEEN DATE '2024-01-15' AND DATE '2024-01-20'"""
+    )
+
     # scalar functions
     sql["split_message"] = on_events("SELECT file, line_number, head, rest FROM e")
     sql["previews"] = """SELECT doc_id, CASE WHEN strlen(text) <= 120 THEN text ELSE

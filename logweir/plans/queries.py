@@ -18,6 +18,7 @@ from logweir.operators.filters import LogFilter
 from logweir.plans.logset import LogSet, logs_of_lines, logs_of_text, open_logs
 from logweir.plans.render import publish, rendered, text_table
 from logweir.plans.session import configure, new_folder
+from logweir.plans.store import store_entries, stored_entries
 from logweir.sources.sinks import export_text
 from logweir.streaming.tailing import catch_up
 
@@ -196,6 +197,14 @@ def filtered_entries(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).entries(where).select(*KEY, "end_line", "level", "extra_data")
 
 
+def filtered_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries stored by day once, then read through a filter that prunes days."""
+    folder = new_folder(spark, "stored-entries")
+    store_entries(events(spark, sf).entries(), folder)
+    where = LogFilter(min_level="WARNING").between(JANUARY_15, dt.date(2024, 1, 20))
+    return stored_entries(spark, folder, where).select(*KEY, "level", "message", clock("ts_local").alias("ts_local"))
+
+
 # ----------------------------------------------------------------------- scalar functions
 
 
@@ -289,10 +298,9 @@ def detail_of_crashes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def message_json(spark: SparkSession, sf: str) -> DataFrame:
-    prefix, found = js.extract_json(F.col("message"))
-    return of_events(
-        prefix.alias("prefix"), found.alias("json"), js.json_value(found, "$.k", "bigint").alias("k")
-    )(spark, sf)
+    found = js.with_json(events(spark, sf).headers())
+    k = js.json_value(F.col("json"), "$.k", "bigint")
+    return found.select(*KEY, F.col("json_head").alias("prefix"), "json", k.alias("k"))
 
 
 def first_line_json(spark: SparkSession, sf: str) -> DataFrame:
@@ -533,7 +541,7 @@ def registered() -> dict[str, Query]:
     plain = [
         scan_lines, file_catalog, log_names, open_one_log, line_totals, parse_headers,
         parse_timestamps, parse_levels, missing_requests, assemble_entries,
-        assemble_conversations, line_offset, parse_text, filter_shortcuts, filtered_entries,
+        assemble_conversations, line_offset, parse_text, filter_shortcuts, filtered_entries, filtered_store,
         split_message, previews, typed_dates, timestamp_formats, shifted_times, entry_labels,
         severity_classes, size_labels, date_labels, detail_blocks, detail_of_crashes,
         message_json, first_line_json, json_blocks, normalized_json, json_fields,
