@@ -54,6 +54,15 @@ def block_index(raw: DataFrame, numbered: bool = False) -> DataFrame:
     )
 
 
+def text_size(index: DataFrame) -> tuple[int, int]:
+    """(blocks, bytes of text) of an index. The number of blocks is the proven size of what
+    is broadcast for these lines."""
+    row = index.agg(
+        F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")
+    ).first()
+    return row["blocks"], row["bytes"]
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = INDEX_ROW_BYTES) -> DataFrame:
     """Broadcast hint for a side of known size; beyond the bound a shuffled join is used."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT_BYTES else df

@@ -12,14 +12,10 @@ from logweir.functions.header import clean_line, is_header
 from logweir.operators import assemble as asm
 from logweir.operators import delete, summaries
 from logweir.operators.filters import LogFilter
-from logweir.operators.numbering import block_index, broadcast_if_small, number_lines
-from logweir.plans.session import configure, new_folder
+from logweir.operators.numbering import block_index, broadcast_if_small, number_lines, text_size
+from logweir.plans.session import configure, new_folder, shuffle_width
 from logweir.sources import files
 
-# Text per task of a shuffle.
-TASK_BYTES = 128 * 1024 * 1024
-
-
 class LogSet:
     """Lines, headers and entries over raw lines.
 
@@ -54,12 +50,8 @@ class LogSet:
 
     @cached_property
     def size(self) -> tuple[int, int]:
-        """(blocks, bytes of text). The number of blocks is the proven size of everything
-        that is broadcast here."""
-        row = self.index.agg(
-            F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")
-        ).first()
-        return row["blocks"], row["bytes"]
+        """(blocks, bytes of text)."""
+        return text_size(self.index)
 
     @property
     def blocks(self) -> int:
@@ -67,12 +59,8 @@ class LogSet:
 
     @property
     def partitions(self) -> int | None:
-        """Shuffle width for text where the session's width would make tasks too big."""
-        if self.whole:
-            return None
-        width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        needed = -(-self.size[1] // TASK_BYTES)
-        return needed if needed > width else None
+        """Shuffle width for all text of the logs."""
+        return None if self.whole else shuffle_width(self.spark, self.size[1])
 
     def lines(self) -> DataFrame:
         """``file, line_number, value, block_no, owner_no`` of every line."""

@@ -38,3 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/logweir/{name}-{uuid.uuid4().hex}"
+
+
+# Text per task of a shuffle.
+TASK_BYTES = 128 * 1024 * 1024
+
+
+def shuffle_width(spark: SparkSession, size: int) -> int | None:
+    """Number of tasks for ``size`` bytes of text; None where the session's width, which AQE
+    may still narrow, makes small enough tasks."""
+    needed = -(-size // TASK_BYTES)
+    return needed if needed > int(spark.conf.get("spark.sql.shuffle.partitions")) else None

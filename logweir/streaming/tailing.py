@@ -1,8 +1,8 @@
 """Incremental parsing of growing logs.
 
-Each micro-batch is a small log set of its own: the lines of the still open entries plus
-the appended lines, numbered on from the lines read before. It goes through the same block
-index and assembly as a whole log, so one busy log is spread over many tasks. What has to
+Each micro-batch is a small log of its own: the lines of the still open entries plus the
+appended lines, numbered on from the lines read before. It goes through the same block index
+and assembly as a whole log, so one busy log is spread over many tasks. What has to
 survive a batch is two small tables per batch in the output folder: ``files`` (one row per
 log) and ``open`` (the lines of each log's last entry). Every table of a batch is
 overwritten when the batch is repeated after a failure.
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from logweir import fixed
+from logweir.operators.assemble import assemble
 from logweir.operators.filters import LogFilter
-from logweir.operators.numbering import block_index, number_lines
-from logweir.plans.logset import LogSet
-from logweir.plans.session import configure
+from logweir.operators.numbering import block_index, number_lines, text_size
+from logweir.plans.session import configure, shuffle_width
 from logweir.sources.tail import TailSource
 
 FILES_SCHEMA = (
@@ -63,93 +63,91 @@ class Tail:
         known = self.before("files", FILES_SCHEMA, epoch)
         pending = self.before("open", OPEN_SCHEMA, epoch)
 
-        touched = rows.groupBy("file").agg(F.bool_or("reset").alias("reset"))
-        base = touched.join(known, "file", "left").select(
-            "file",
-            (F.coalesce("generation", F.lit(0)) + (F.col("reset") | F.col("generation").isNull()).cast("int"))
-            .alias("generation"),
-            F.when(~F.col("reset"), F.col("lines_read")).alias("lines_before"),
-            F.when(~F.col("reset"), F.col("open_line")).alias("open_before"),
-            F.when(~F.col("reset"), F.col("open_is_new")).alias("open_is_new"),
-        )
-        base = self.save(base, "base", epoch)
-
         arrived = rows.where(F.col("value").isNotNull()).select(
             "file", F.lit(0).cast("bigint").alias("part_no"), F.col("file").alias("part"),
             "block", "pos", "value",
         )
-        index = self.save(block_index(arrived), "arrived-index", epoch)
-        numbered = (
-            number_lines(arrived, index, index.count())
-            .join(base, "file")
-            .select(
-                "file",
-                F.lit(1).cast("bigint").alias("part_no"),
-                F.col("file").alias("part"),
-                "block_no",
-                (F.col("line_number") + F.coalesce("lines_before", F.lit(0))).alias("pos"),
-                "value",
-            )
-        )
-        held = pending.join(base.where(F.col("open_before").isNotNull()), "file", "left_semi").select(
-            "file",
-            F.lit(0).cast("bigint").alias("part_no"),
-            F.col("file").alias("part"),
-            F.lit(0).cast("bigint").alias("block_no"),
-            F.col("line_number").alias("pos"),
-            "value",
-        )
-        raw = self.save(
-            held.unionByName(numbered).withColumnRenamed("block_no", "block"), "lines", epoch
-        )
-        log = LogSet(self.spark, raw, numbered=True)
+        index = self.save(block_index(arrived), "index", epoch)
+        blocks, size = text_size(index)
+        base = self.save(self._base(rows, index, known), "base", epoch)
 
-        last = log.index.groupBy("file").agg(
-            F.max("last_head_pos").alias("last_head"), F.max("last_pos").alias("last_line")
-        )
-        now = base.join(last, "file", "left").select(
+        lines = self._lines(number_lines(arrived, index, blocks), pending, base)
+        entries = assemble(lines, shuffle_width(self.spark, size))
+        updates = self.save(self._marked(entries, base), "entries", epoch)
+
+        now = base.select(
             "file",
             "generation",
-            F.greatest("last_line", F.coalesce("lines_before", F.lit(0))).alias("lines_read"),
+            "lines_read",
             F.col("last_head").alias("open_line"),
             F.when(F.col("last_head") == F.col("open_before"), F.col("open_is_new"))
             .otherwise(F.col("lines_before").isNotNull() & F.col("last_head").isNotNull())
             .alias("open_is_new"),
             F.lit(epoch).cast("bigint").alias("last_epoch"),
         )
-        updates = self.save(self._updates(log, base, last), "entries", epoch)
-
-        rest = known.join(base, "file", "left_anti")
-        files = self.save(now.unionByName(rest), "files", epoch)
-        kept = raw.join(files.select("file", "open_line"), "file").where(
-            F.col("pos") >= F.col("open_line")
+        self.save(now.unionByName(known.join(base, "file", "left_anti")), "files", epoch)
+        kept = lines.join(base.select("file", "last_head"), "file").where(
+            F.col("line_number") >= F.col("last_head")
         )
         untouched = pending.join(base, "file", "left_anti")
         self.save(
-            kept.select("file", F.col("pos").alias("line_number"), "value").unionByName(untouched),
-            "open",
-            epoch,
+            kept.select("file", "line_number", "value").unionByName(untouched), "open", epoch
         )
         self._forget(epoch - 2)
         return updates
 
-    def _updates(self, log: LogSet, base: DataFrame, last: DataFrame) -> DataFrame:
+    def _base(self, rows: DataFrame, index: DataFrame, known: DataFrame) -> DataFrame:
+        """One row per log of the batch: what was read before it and where it ends now.
+
+        After a reset nothing was read before, and the log begins a new generation.
+        """
+        touched = rows.groupBy("file").agg(F.bool_or("reset").alias("reset"))
+        read = index.groupBy("file").agg(
+            F.sum("n_lines").alias("n_lines"),
+            F.max(F.col("last_head_pos") + F.col("shift")).alias("head_in_batch"),
+        )
+        begins = F.col("reset") | F.col("generation").isNull()
+        joined = touched.join(known, "file", "left").join(read, "file", "left")
+        kept = {"lines_before": "lines_read", "open_before": "open_line", "open_is_new": "open_is_new"}
+        base = joined.select(
+            "file",
+            (F.coalesce("generation", F.lit(0)) + begins.cast("int")).alias("generation"),
+            *[F.when(~F.col("reset"), F.col(old)).alias(new) for new, old in kept.items()],
+            "n_lines",
+            "head_in_batch",
+        )
+        before = F.coalesce("lines_before", F.lit(0))
+        return base.select(
+            "file", "generation", *kept,
+            (before + F.coalesce("n_lines", F.lit(0))).alias("lines_read"),
+            F.coalesce(F.col("head_in_batch") + before, F.col("open_before")).alias("last_head"),
+        )
+
+    def _lines(self, numbered: DataFrame, pending: DataFrame, base: DataFrame) -> DataFrame:
+        """Lines of the open entries as block 0 of their log, then the appended lines. Lines
+        before the first header of the batch belong to the open entry, if there is one."""
+        to_open = F.when(F.col("open_before").isNotNull(), F.lit(0).cast("bigint"))
+        appended = numbered.join(base, "file").select(
+            "file",
+            (F.col("line_number") + F.coalesce("lines_before", F.lit(0))).alias("line_number"),
+            "value",
+            F.coalesce("owner_no", to_open).alias("owner_no"),
+        )
+        held = pending.join(base.where(F.col("open_before").isNotNull()), "file", "left_semi")
+        return held.withColumn("owner_no", F.lit(0).cast("bigint")).unionByName(appended)
+
+    def _marked(self, entries: DataFrame, base: DataFrame) -> DataFrame:
         """Entries of this batch with the marks of T4. The first look at a log and the look
         after a rotation mark nothing as new."""
         appended = F.col("line_number") > F.col("lines_before")
         is_new = F.when(F.col("line_number") == F.col("open_before"), F.col("open_is_new")).otherwise(
             F.coalesce(appended, F.lit(False))
         )
-        entries = log.entries()
-        return (
-            entries.join(base, "file")
-            .join(last, "file")
-            .select(
-                *entries.columns,
-                "generation",
-                is_new.alias("is_new"),
-                (F.col("line_number") == F.col("last_head")).alias("is_open"),
-            )
+        return entries.join(base, "file").select(
+            *entries.columns,
+            "generation",
+            is_new.alias("is_new"),
+            (F.col("line_number") == F.col("last_head")).alias("is_open"),
         )
 
     def _forget(self, epoch: int) -> None:
@@ -158,7 +156,7 @@ class Tail:
             return
         jvm = self.spark._jvm
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
-        for name in ("arrived", "base", "arrived-index", "lines", "files", "open"):
+        for name in ("arrived", "index", "base", "files", "open"):
             path = jvm.org.apache.hadoop.fs.Path(self.table(name, epoch))
             path.getFileSystem(conf).delete(path, True)
 

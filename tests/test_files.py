@@ -113,7 +113,7 @@ def test_delete_everything_and_truncate(spark, tmp_path):
 
 
 def test_rewrite_over_many_splits_keeps_line_order(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("logweir.plans.logset.TASK_BYTES", 2000)
+    monkeypatch.setattr("logweir.plans.session.TASK_BYTES", 2000)
     text = "".join(
         header("ERROR" if i % 3 == 0 else "INFO", f"m{i}") + "\n" + f"  more {i}\n" * (i % 9) for i in range(300)
     )
