@@ -37,8 +37,12 @@ def _ranges() -> Column:
     return F.floor(F.col("line_number") / RANGE_LINES).cast("bigint")
 
 
-def with_position(entries: DataFrame) -> DataFrame:
-    """Adds 1-based ``position`` in its file and ``total`` entries of that file."""
+def _placed(entries: DataFrame, low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """Entries with position and total; with bounds, only those between two positions.
+
+    Bounds are written on ``total``. Ranges without a wanted position are left out before
+    anything but their counts is shuffled.
+    """
     ranged = entries.withColumn("_range", _ranges())
     counts = ranged.groupBy("file", "_range").agg(F.count(F.lit(1)).alias("_n"))
     by_file = Window.partitionBy("file")
@@ -46,30 +50,36 @@ def with_position(entries: DataFrame) -> DataFrame:
     offsets = counts.select(
         "file",
         "_range",
+        "_n",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(by_file).alias("total"),
     )
+    if low is not None and high is not None:
+        offsets = offsets.where((F.col("_before") < high) & (F.col("_before") + F.col("_n") >= low))
     inner = Window.partitionBy("file", "_range").orderBy("line_number")
-    numbered = ranged.withColumn("_place", F.row_number().over(inner))
-    return (
-        numbered.join(offsets, ["file", "_range"])
-        .withColumn("position", F.col("_before") + F.col("_place"))
-        .drop("_range", "_place", "_before")
-        .select(*entries.columns, "position", "total")
+    placed = ranged.join(offsets, ["file", "_range"]).withColumn(
+        "position", F.col("_before") + F.row_number().over(inner)
     )
+    if low is not None and high is not None:
+        placed = placed.where(F.col("position").between(low, high))
+    return placed.select(*entries.columns, "position", "total")
+
+
+def with_position(entries: DataFrame) -> DataFrame:
+    """Adds 1-based ``position`` in its file and ``total`` entries of that file."""
+    return _placed(entries)
 
 
 def page(entries: DataFrame, number: int, size: int) -> DataFrame:
     """Page ``number`` (from 0) of every file, clamped to its first and last page."""
     last = F.floor((F.col("total") - 1) / size)
-    wanted = F.least(F.greatest(F.lit(number), F.lit(0)), last)
-    return with_position(entries).where(F.floor((F.col("position") - 1) / size) == wanted)
+    first = F.least(F.lit(max(number, 0)), last) * size + 1
+    return _placed(entries, first, first + size - 1)
 
 
 def between_positions(entries: DataFrame, one: int, other: int) -> DataFrame:
     """Entries from one marked position to the other, both included, in any order."""
-    low, high = min(one, other), max(one, other)
-    return with_position(entries).where(F.col("position").between(low, high))
+    return _placed(entries, F.lit(min(one, other)), F.lit(max(one, other)))
 
 
 def lines_at(entries: DataFrame, one: int, other: int) -> DataFrame:
