@@ -24,7 +24,7 @@ LEVEL_BRACKET_POSITION = 33  # 1-based; the date part always has 32 characters
 # Text that separates a message from the JSON behind it, tried in this order.
 JSON_SEPARATORS = [" - {", " - ["]
 
-# Level shortcuts of the viewer keys.
+# Level of each shortcut key.
 LEVEL_SHORTCUTS = {1: "ERROR", 2: "WARNING", 3: "INFO", 4: "DEBUG"}
 
 # Display group per severity.

@@ -22,7 +22,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from logweir import fixed
 from logweir.operators.assemble import assemble
 from logweir.operators.filters import LogFilter
-from logweir.operators.numbering import block_index, number_lines, text_size
+from logweir.operators.numbering import block_index, broadcast_if_small, number_lines, text_size
 from logweir.plans.session import configure, shuffle_width
 from logweir.sources.tail import TailSource
 
@@ -70,10 +70,13 @@ class Tail:
         index = self.save(block_index(arrived), "index", epoch)
         blocks, size = text_size(index)
         base = self.save(self._base(rows, index, known), "base", epoch)
+        # One row per log of the batch, counted before it is broadcast: a busy log's lines
+        # must not be shuffled by their log.
+        logs = broadcast_if_small(base, base.count())
 
-        lines = self._lines(number_lines(arrived, index, blocks), pending, base)
+        lines = self._lines(number_lines(arrived, index, blocks), pending, logs)
         entries = assemble(lines, shuffle_width(self.spark, size))
-        updates = self.save(self._marked(entries, base), "entries", epoch)
+        updates = self.save(self._marked(entries, logs), "entries", epoch)
 
         now = base.select(
             "file",
@@ -86,9 +89,7 @@ class Tail:
             F.lit(epoch).cast("bigint").alias("last_epoch"),
         )
         self.save(now.unionByName(known.join(base, "file", "left_anti")), "files", epoch)
-        kept = lines.join(base.select("file", "last_head"), "file").where(
-            F.col("line_number") >= F.col("last_head")
-        )
+        kept = lines.join(logs, "file").where(F.col("line_number") >= F.col("last_head"))
         untouched = pending.join(base, "file", "left_anti")
         self.save(
             kept.select("file", "line_number", "value").unionByName(untouched), "open", epoch
@@ -123,27 +124,28 @@ class Tail:
             F.coalesce(F.col("head_in_batch") + before, F.col("open_before")).alias("last_head"),
         )
 
-    def _lines(self, numbered: DataFrame, pending: DataFrame, base: DataFrame) -> DataFrame:
+    def _lines(self, numbered: DataFrame, pending: DataFrame, logs: DataFrame) -> DataFrame:
         """Lines of the open entries as block 0 of their log, then the appended lines. Lines
         before the first header of the batch belong to the open entry, if there is one."""
         to_open = F.when(F.col("open_before").isNotNull(), F.lit(0).cast("bigint"))
-        appended = numbered.join(base, "file").select(
+        appended = numbered.join(logs, "file").select(
             "file",
             (F.col("line_number") + F.coalesce("lines_before", F.lit(0))).alias("line_number"),
             "value",
             F.coalesce("owner_no", to_open).alias("owner_no"),
         )
-        held = pending.join(base.where(F.col("open_before").isNotNull()), "file", "left_semi")
-        return held.withColumn("owner_no", F.lit(0).cast("bigint")).unionByName(appended)
+        held = pending.join(logs, "file").where(F.col("open_before").isNotNull())
+        held = held.select(*pending.columns, F.lit(0).cast("bigint").alias("owner_no"))
+        return held.unionByName(appended)
 
-    def _marked(self, entries: DataFrame, base: DataFrame) -> DataFrame:
+    def _marked(self, entries: DataFrame, logs: DataFrame) -> DataFrame:
         """Entries of this batch with the marks of T4. The first look at a log and the look
         after a rotation mark nothing as new."""
         appended = F.col("line_number") > F.col("lines_before")
         is_new = F.when(F.col("line_number") == F.col("open_before"), F.col("open_is_new")).otherwise(
             F.coalesce(appended, F.lit(False))
         )
-        return entries.join(base, "file").select(
+        return entries.join(logs, "file").select(
             *entries.columns,
             "generation",
             is_new.alias("is_new"),
@@ -176,6 +178,7 @@ class Tail:
         """
         entries = self.spark.read.parquet(f"{self.folder}/entries")
         state = self.latest_files().select("file", "generation", "last_epoch")
+        state = broadcast_if_small(state, state.count())
         alive = entries.join(state, ["file", "generation"]).where(
             ~F.col("is_open") | (F.col("epoch") == F.col("last_epoch"))
         )
