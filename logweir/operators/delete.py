@@ -75,14 +75,15 @@ def surviving_lines(log: LogSet, doomed: Column, drop_orphans: Column | None = N
         )
     )
     # Ranging by block keeps a block in one task, orders the tasks by line, and already is
-    # the distribution the window asks for.
+    # the distribution the window asks for. It has to be the last exchange, so the carried
+    # verdicts are joined before it.
     keys = ["file", "block_no"]
+    placed = lines.join(broadcast_if_small(carried, log.blocks), keys, "left")
     ranged = (
-        lines.repartitionByRange(log.partitions, *keys)
+        placed.repartitionByRange(log.partitions, *keys)
         if log.partitions
-        else lines.repartitionByRange(*keys)
+        else placed.repartitionByRange(*keys)
     )
-    placed = ranged.join(broadcast_if_small(carried, log.blocks), keys, "left")
     so_far = (
         Window.partitionBy(*keys)
         .orderBy("line_number")
@@ -91,7 +92,7 @@ def surviving_lines(log: LogSet, doomed: Column, drop_orphans: Column | None = N
     own = F.last("verdict", ignorenulls=True).over(so_far)
     orphan = drop_orphans if drop_orphans is not None else F.lit(False)
     gone = F.coalesce(own, F.col("carry"), orphan)
-    judged = _with_verdict(placed, doomed).withColumn("gone", gone)
+    judged = _with_verdict(ranged, doomed).withColumn("gone", gone)
     return judged.where(~F.col("gone")).select("file", "block_no", "line_number", "value")
 
 

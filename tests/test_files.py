@@ -112,7 +112,13 @@ def test_delete_everything_and_truncate(spark, tmp_path):
     assert nothing.entries().count() == 0 and all(c[2] for c in catalog(nothing).values())
 
 
-def test_rewrite_over_many_splits_keeps_line_order(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_rewrite_over_many_splits_keeps_line_order(spark, tmp_path, monkeypatch, broadcast):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if not broadcast:
+        monkeypatch.setattr("logweir.operators.numbering.BROADCAST_LIMIT_BYTES", 0)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     monkeypatch.setattr("logweir.plans.session.TASK_BYTES", 2000)
     text = "".join(
         header("ERROR" if i % 3 == 0 else "INFO", f"m{i}") + "\n" + f"  more {i}\n" * (i % 9) for i in range(300)
@@ -131,7 +137,20 @@ def test_rewrite_over_many_splits_keeps_line_order(spark, tmp_path, monkeypatch)
         assert [v for (v,) in rows(after.lines(), "value")] == kept
         one = open_logs(spark, str(tmp_path / "out" / "file=a.log"))
         assert one.row_counts().first()["lines_read"] == len(kept)
+        errors = LogFilter(min_level="ERROR")
+        names = ["line_number", "end_line", "message", "extra_data"]
+        expected = []
+        for at, line in enumerate(text.split("\n")[:-1], 1):
+            if line.startswith("Thu"):
+                expected.append([at, at, line.rsplit(": ", 1)[1], None, "[ERROR]" in line])
+            else:
+                expected[-1][1] = at
+                expected[-1][3] = line if expected[-1][3] is None else expected[-1][3] + "\n" + line
+        assert rows(log.entries(errors), *names) == [tuple(e[:4]) for e in expected if e[4]]
+        assert ("BroadcastHashJoin" in str(log.lines()._jdf.queryExecution().executedPlan())) == broadcast
     finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
