@@ -17,6 +17,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, StructField, StructType
 
 # Text that a task turns into arrays at a time; one longer document is a chunk of its own.
 CHUNK_BYTES = 2 * 1024 * 1024
@@ -213,6 +215,10 @@ def binary_sizes(column: pa.Array) -> list[int]:
     return [n or 0 for n in pa.compute.binary_length(column).to_pylist()]
 
 
+def arrow_type(kind: DataType) -> pa.DataType:
+    return to_arrow_schema(StructType([StructField("x", kind)])).field(0).type
+
+
 def as_bytes(column: str) -> F.Column:
     """A text column as UTF-8 bytes: it reaches Python without being decoded."""
     return F.col(column).cast("binary")

@@ -79,9 +79,7 @@ def measures(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -
 
 
 def _arrow(key) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    fields = [("key", to_arrow_type(key))] + [(m, pa.int64()) for m in MEASURES]
+    fields = [("key", common.arrow_type(key))] + [(m, pa.int64()) for m in MEASURES]
     return pa.schema(fields)
 
 

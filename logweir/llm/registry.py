@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing, quality
+from . import common, jaccard, lines, mixing, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def registered() -> dict[str, Query]:
     found = {
+        "op1_jaccard_join": jaccard.op1_jaccard_join,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op8_line_dedup": lines.op8_line_dedup,
+        "op10_substring_dedup": substrings.op10_substring_dedup,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
@@ -29,6 +32,9 @@ def _shipped(query: Query) -> Query:
 
 def statements() -> dict[str, str]:
     return {
+        "op1_jaccard_join": jaccard.OP1_SQL,
         "op2_quality_rules": quality.OP2_SQL,
         "op3_mix_sources": mixing.OP3_SQL,
+        "op8_line_dedup": lines.OP8_SQL,
+        "op10_substring_dedup": substrings.OP10_SQL,
     }
