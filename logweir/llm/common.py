@@ -44,7 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         import tempfile
 
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="llm-")
         spark.sparkContext.setCheckpointDir(folder)

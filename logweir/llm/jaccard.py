@@ -360,6 +360,26 @@ def jaccard_join(
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).unionByName(alone)
 
 
+def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those whose group holds a smaller id.
+
+    Rows without an id stay. Rows that share an id stay or go together, equal texts of one id
+    once.
+    """
+    found = jaccard_join(docs, key, text).groupBy(F.col("doc_id").alias("judged_id")).agg(
+        F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("rows_of_id"))
+    verdicts = common.saved(found.where("judged_id IS NOT NULL"), "jaccard-verdicts")
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(key).cast("long").alias("id_of_row"))
+    joined = whole.join(verdicts, F.col("id_of_row") == F.col("judged_id"), "left")
+    stays = joined.where("judged_id IS NULL OR class_id = judged_id")
+    single = stays.where("judged_id IS NULL OR rows_of_id = 1").select("row")
+    several = stays.where("rows_of_id > 1").withColumn("words", F.xxhash64(F.col("row")[text]))
+    return single.unionByName(
+        several.dropDuplicates(["id_of_row", "words"]).select("row")).select("row.*")
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(common.table(spark, sf_dir, "documents"))
 

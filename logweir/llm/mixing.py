@@ -81,7 +81,8 @@ def mix(
     docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
     weights: tuple[float, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS,
 ) -> DataFrame:
-    """Each row's ``size``, ``source_size``, ``target`` and number of ``copies`` in the mix.
+    """The rows as struct ``row`` with ``size``, ``source_size``, ``target`` and the number of
+    ``copies`` in the mix.
 
     Sources are weighed by their order (code points, null last) with ``weights`` repeating and
     share the size of all documents, at most ``max_epochs`` times their own. A source with the
@@ -92,14 +93,16 @@ def mix(
 
     Null text has size 0; a null source is a source; rows with a null or repeated key count
     each (ties of the hash go by size; equal rows are alike). An empty table gives no rows, and a
-    source without words has target 0. Only the three named columns are read, so other
-    columns cannot clash. A hot source is cut into hash slices that are summed before any
+    source without words has target 0. Other columns travel inside the struct, so their names
+    cannot clash. A hot source is cut into hash slices that are summed before any
     shuffle; only the slice on the edge is ordered.
     """
-    sized = common.saved(docs.select(
+    full = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(key).alias("doc_id"), F.col(source).alias("source"),
-        words_in(F.col(text)).alias("size"), draw(F.col(key)).alias("drawn"),
-    ), "mix-docs")
+        words_in(F.col(text)).alias("size"), draw(F.col(key)).alias("drawn"))
+    # Sizes are kept for the sums; the rows themselves are read again and not moved.
+    sized = common.saved(full.drop("row"), "mix-docs")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     weighed = common.saved(ranked(sources, "source").withColumn(
@@ -138,7 +141,7 @@ def mix(
         bounds.join(beyond, F.col("of").eqNullSafe(F.col("beyond_of")), "left").drop("beyond_of"),
         "mix-bounds")
 
-    placed = sized.join(bounds, F.col("source").eqNullSafe(F.col("of")), "left").withColumn(
+    placed = full.join(bounds, F.col("source").eqNullSafe(F.col("of")), "left").withColumn(
         "slice_no", slice_no)
     on_edge = placed.where(F.col("slice_no") == F.col("edge"))
     in_slice = Window.partitionBy("source").orderBy("drawn", "size", "doc_id")
@@ -149,16 +152,15 @@ def mix(
     decided = on_edge.withColumn("extra", extra_on_edge.cast("long")).unionByName(
         placed.where(F.coalesce(F.col("slice_no") != F.col("edge"), F.lit(True)))
         .withColumn("extra", (F.col("slice_no") <= F.col("full")).cast("long")))
+    copies = F.col("whole") + F.when(F.col("wanted") > 0, F.col("extra")).otherwise(0)
     return decided.select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("whole") + F.when(F.col("wanted") > 0, F.col("extra")).otherwise(0))
-        .cast("long").alias("copies"), "drawn")
+        "row", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mix(common.table(spark, sf_dir, "documents"))
+    found = mix(common.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return found.select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+        F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP3_SQL = r"""

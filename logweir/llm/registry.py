@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, jaccard, lines, mixing, quality, substrings
+from . import bpe, common, html, jaccard, language, lines, mixing, neighbours, quality, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,12 @@ def registered() -> dict[str, Query]:
         "op1_jaccard_join": jaccard.op1_jaccard_join,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
+        "op5_url_filter": urls.op5_url_filter,
+        "op6_language_id": language.op6_language_id,
+        "op7_bpe": bpe.op7_bpe,
         "op8_line_dedup": lines.op8_line_dedup,
+        "op9_html_text": html.op9_html_text,
         "op10_substring_dedup": substrings.op10_substring_dedup,
     }
     return {name: _shipped(query) for name, query in found.items()}
