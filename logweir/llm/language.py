@@ -55,10 +55,22 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Presence kernel of two sets of rows."""
-    sizes = np.maximum(np.outer(a.sum(axis=1), b.sum(axis=1)), 1)
-    return (a @ b.T) / np.sqrt(sizes)
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """Presence rows from packed bits, as float32 for products."""
+    bits = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    return np.unpackbits(bits, axis=1).astype(np.float32)
+
+
+def kernel(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Presence kernel of two lists of packed rows, in blocks: two blocks are unpacked at a time."""
+    found = np.empty((len(a), len(b)))
+    for i in range(0, len(a), BATCH):
+        left = unpacked(a[i : i + BATCH])
+        for j in range(0, len(b), BATCH):
+            right = unpacked(b[j : j + BATCH])
+            sizes = np.maximum(np.outer(left.sum(axis=1), right.sum(axis=1)), 1)
+            found[i : i + BATCH, j : j + BATCH] = (left @ right.T) / np.sqrt(sizes)
+    return found
 
 
 def labelled_sample(docs: DataFrame) -> DataFrame:
@@ -82,8 +94,9 @@ def labelled_sample(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "lang", "place", "text")
 
 
-def fit(sample: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages and the weight of each n-gram for each of them."""
+def fit(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The languages, the weight of each n-gram for each of them, and what a text that shares no
+    n-gram with any landmark gets (the mean of each language's goals)."""
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("place", pa.int32()),
                         ("grams", pa.binary())])
 
@@ -104,22 +117,25 @@ def fit(sample: DataFrame) -> tuple[list[str], np.ndarray]:
         key=lambda r: (r["lang"], r["place"], r["doc_id"], r["grams"]))
     languages = sorted({r["lang"] for r in rows})
     if not rows:
-        return [], np.zeros((1 << GRAM_BITS, 0), dtype=np.float32)
-    grams = np.stack([
-        np.unpackbits(np.frombuffer(r["grams"], np.uint8)) for r in rows]).astype(np.float32)
+        return [], np.zeros((1 << GRAM_BITS, 0), dtype=np.float32), np.zeros(0)
+    grams = [bytes(r["grams"]) for r in rows]
     goal = np.array([[1.0 if r["lang"] == x else -1.0 for x in languages] for r in rows])
-    marks = np.array([r["place"] <= LANDMARKS for r in rows])
-    if not marks.any():
-        marks[:] = True
-    landmarks = grams[marks]
-    between, among = kernel(grams, landmarks), kernel(landmarks, landmarks)
+    marks = [g for g, r in zip(grams, rows) if r["place"] <= LANDMARKS]
+    between, among = kernel(grams, marks), kernel(marks, marks)
     left = between.T @ between + RIDGE * len(rows) * (among + 1e-6 * np.eye(len(among)))
-    factors = np.linalg.solve(left, between.T @ goal)
-    scaled = landmarks / np.sqrt(np.maximum(landmarks.sum(axis=1, keepdims=True), 1))
-    return languages, np.ascontiguousarray((scaled.T @ factors).astype(np.float32))
-
-
-def predict(docs: DataFrame, languages: list[str], weights: np.ndarray) -> DataFrame:
+    base = goal.mean(axis=0)
+    factors = np.linalg.solve(left, between.T @ (goal - base))
+    weights = np.zeros((1 << GRAM_BITS, len(languages)), dtype=np.float32)
+    for i in range(0, len(marks), BATCH):
+        block = unpacked(marks[i : i + BATCH])
+        block /= np.sqrt(np.maximum(block.sum(axis=1, keepdims=True), 1))
+        weights += block.T @ factors[i : i + BATCH].astype(np.float32)
+    return languages, weights, base
+
+
+def predict(
+    docs: DataFrame, languages: list[str], weights: np.ndarray, base: np.ndarray
+) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` to the carried struct ``row`` of (t, row)."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
     kind = docs.schema["row"].dataType
@@ -141,7 +157,7 @@ def predict(docs: DataFrame, languages: list[str], weights: np.ndarray) -> DataF
                 for row, i in zip(block, part):
                     presence(texts[i], row)
                 sizes = np.sqrt(np.maximum(block.sum(axis=1, keepdims=True), 1))
-                values = (block @ table) / sizes
+                values = (block @ table) / sizes + base
                 best = values.argmax(axis=1)
                 for i, at, value in zip(part, best, values.max(axis=1)):
                     names[i] = languages[at]
@@ -164,10 +180,10 @@ def identify(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     sample = labelled_sample(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), "lang"))
-    languages, weights = fit(sample)
+    languages, weights, base = fit(sample)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     frame = docs.select(common.as_bytes(text).alias("t"), F.struct(*rest).alias("row"))
-    return predict(frame, languages, weights)
+    return predict(frame, languages, weights, base)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
