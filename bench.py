@@ -27,6 +27,25 @@ HEADLINES = [
 ]
 
 
+def one_tick(spark, sf_dir: str, timed) -> None:
+    """One look at logs of which one has grown by a line, apart from the feed."""
+    from pyspark.sql import functions as F
+
+    from logweir.plans.render import publish
+    from logweir.plans.session import new_folder
+    from logweir.streaming.tailing import catch_up
+
+    base = new_folder(spark, "bench-tail")
+    lines = rendered(spark, sf_dir, "conversations").lines().select("file", "line_number", "value")
+    publish(lines, f"{base}/logs")
+    places = (f"{base}/logs", f"{base}/out", f"{base}/checkpoint")
+    catch_up(spark, *places)
+    last = lines.agg(F.max("line_number")).first()[0]
+    more = lines.where(F.col("line_number") == 1).withColumn("line_number", F.lit(last + 1))
+    publish(lines.unionByName(more), f"{base}/logs")
+    timed("tail_one_tick", lambda: catch_up(spark, *places))
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -55,6 +74,7 @@ def main() -> None:
     for name in HEADLINES:
         query = queries[name]
         timed(name, lambda: query(spark, sf_dir).write.format("noop").mode("overwrite").save())
+    one_tick(spark, sf_dir, timed)
     result = {
         "metric": "log_analytics_total",
         "value": round(sum(times.values()), 3),

@@ -7,6 +7,7 @@ blocks out of free text; everything around these helpers is a DataFrame operatio
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -15,14 +16,25 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 127  # fixed: deeper documents are not accepted as JSON
+from logweir.functions.json import MAX_DEPTH, printed
+
 HIDDEN_KEY = "exception"  # fixed: the key that is folded away
 
 
+class Number(str):
+    """A number as it is spelled; ``printed`` gives it its one form."""
+
+
 def _refuse(constant: str) -> None:
     raise ValueError(f"{constant} is not JSON")
 
 
+def _number(text: str) -> Number:
+    if not math.isfinite(float(text)):
+        raise ValueError(f"{text} is too large")
+    return Number(text)
+
+
 def _depth(value: Any) -> int:
     deepest, level = 0, [value]
     while level:
@@ -32,19 +44,34 @@ def _depth(value: Any) -> int:
     return deepest
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def load(text: str | None) -> tuple[bool, Any]:
-    """(is it one JSON value, the value)."""
+    """(is it one JSON value, the value). Half a surrogate pair, a number that is not finite
+    and more than MAX_DEPTH levels are no JSON."""
     if text is None:
         return False, None
     try:
-        value = json.loads(text, parse_constant=_refuse)
+        value = json.loads(
+            text, parse_constant=_refuse, parse_float=_number, parse_int=_number)
+        fits = _depth(value) <= MAX_DEPTH
     except (ValueError, RecursionError):
         return False, None
-    return _depth(value) <= MAX_DEPTH, value
+    if not fits or ("\\u" in text and _SURROGATE.search(dump(value))):
+        return False, None
+    return True, value
 
 
 def dump(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    if isinstance(value, Number):
+        return str(value)
+    if isinstance(value, dict):
+        return "{" + ",".join(
+            f"{json.dumps(k, ensure_ascii=False)}:{dump(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(dump, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
 
 
 def without_hidden(value: Any) -> Any:
@@ -63,8 +90,9 @@ def leaves(value: Any, show_exception: bool, path: str = "$", key: str = "") ->
         for i, item in enumerate(value):
             yield from leaves(item, show_exception, f"{path}[{i}]", key)
     else:
-        text = value if isinstance(value, str) else dump(value)
-        yield {"path": path, "key": key, "value": text}
+        is_text = isinstance(value, str) and not isinstance(value, Number)
+        yield {"path": path, "key": key, "value": value if is_text else dump(value),
+               "is_text": is_text}
 
 
 # Inside a block: a whole string (or an unclosed one up to the end), or one bracket.
@@ -110,7 +138,8 @@ def json_blocks(text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(_blocks_of)
 
-    return run(text)
+    return F.transform(run(text), lambda block: F.struct(
+        block["char_offset"].alias("char_offset"), printed(block["json"]).alias("json")))
 
 
 def json_fields(text: Column, show_exception: bool = False) -> Column:
@@ -120,11 +149,14 @@ def json_fields(text: Column, show_exception: bool = False) -> Column:
         ok, parsed = load(value)
         return list(leaves(parsed, show_exception)) if ok else None
 
-    @F.pandas_udf("array<struct<path:string,key:string,value:string>>")
+    @F.pandas_udf("array<struct<path:string,key:string,value:string,is_text:boolean>>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(walk)
 
-    return run(text)
+    return F.transform(run(text), lambda field: F.struct(
+        field["path"].alias("path"), field["key"].alias("key"),
+        F.when(field["is_text"], field["value"]).otherwise(printed(field["value"]))
+        .alias("value")))
 
 
 def hide_exception(text: Column) -> Column:
@@ -132,11 +164,11 @@ def hide_exception(text: Column) -> Column:
 
     def fold(value: str | None) -> str | None:
         ok, parsed = load(value)
-        return dump(without_hidden(parsed)) if ok else value
+        return dump(without_hidden(parsed)) if ok else None
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(fold)
 
     concerned = F.when(F.contains(text, F.lit(f'"{HIDDEN_KEY}"')), text)
-    return F.coalesce(run(concerned), text)
+    return F.coalesce(printed(run(concerned)), text)

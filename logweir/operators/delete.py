@@ -1,9 +1,9 @@
 """Deleting entries.
 
-Every delete is a predicate on header lines. The verdict of a header is carried forward to
-its continuation lines: inside a block by a window, and from block to block by the verdict
-of the last header before it. No join on entries and no range join is needed, and no group
-is larger than one scan split.
+Every delete is a predicate on header lines. A pass over the headers finds the logs that hold
+a doomed entry; only these are read again, and written without it. All other logs are handed on
+where they are. The verdict of a header is carried to its lines while they stream by (see
+``carry``), so no join on entries is needed, and nothing is shuffled but what is written.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.functions.header import clean_line, header_columns, is_header
+from logweir.operators.carry import decided
 from logweir.operators.filters import LogFilter
 from logweir.operators.numbering import broadcast_if_small
-from logweir.sources.files import LogPath, list_parts
+from logweir.plans import session
 from logweir.sources.sinks import keep_emptied, write_logs
 
 if TYPE_CHECKING:
@@ -46,59 +46,49 @@ def whole_file(file: str) -> Column:
     return F.col("file") == file
 
 
-def _with_verdict(lines: DataFrame, doomed: Column) -> DataFrame:
-    """Adds ``verdict``: true or false on a header line, null on any other line."""
-    text = lines.withColumn("_text", clean_line("value"))
-    typed = text.select("*", *header_columns("_text"))
-    verdict = F.when(is_header("_text"), F.coalesce(doomed, F.lit(False)))
-    return typed.select(*lines.columns, verdict.alias("verdict"))
+def touched_logs(log: LogSet, doomed: Column, drop_orphans: Column | None = None) -> list[str]:
+    """Names of the logs that lose a line: one row per log, as the listing already is."""
+    found = log.headers().where(doomed).select("file")
+    if drop_orphans is not None:
+        found = found.unionByName(log.index.select("file").where(drop_orphans))
+    return [r["file"] for r in found.distinct().collect()]
 
 
 def surviving_lines(log: LogSet, doomed: Column, drop_orphans: Column | None = None) -> DataFrame:
-    """``file, block_no, line_number, value`` of the lines that stay, ranged by file and line.
+    """``file, block_no, line_number, value`` of the lines that stay.
 
     Lines before the first header stay, unless ``drop_orphans`` holds for their file.
     """
-    lines = log.lines().select("file", "block_no", "line_number", "value")
-    heads = _with_verdict(lines, doomed).where(F.col("verdict").isNotNull())
-    last = heads.groupBy("file", "block_no").agg(
-        F.max_by("verdict", "line_number").alias("block_verdict")
-    )
-    before = (
-        Window.partitionBy("file").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = (
-        log.index.select("file", "block_no")
-        .join(last, ["file", "block_no"], "left")
-        .select(
-            "file", "block_no", F.last("block_verdict", ignorenulls=True).over(before).alias("carry")
-        )
-    )
-    # Ranging by block keeps a block in one task, orders the tasks by line, and already is
-    # the distribution the window asks for. It has to be the last exchange, so the carried
-    # verdicts are joined before it.
-    keys = ["file", "block_no"]
-    placed = lines.join(broadcast_if_small(carried, log.blocks), keys, "left")
-    ranged = (
-        placed.repartitionByRange(log.partitions, *keys)
-        if log.partitions
-        else placed.repartitionByRange(*keys)
-    )
-    so_far = (
-        Window.partitionBy(*keys)
-        .orderBy("line_number")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    own = F.last("verdict", ignorenulls=True).over(so_far)
-    orphan = drop_orphans if drop_orphans is not None else F.lit(False)
-    gone = F.coalesce(own, F.col("carry"), orphan)
-    judged = _with_verdict(ranged, doomed).withColumn("gone", gone)
-    return judged.where(~F.col("gone")).select("file", "block_no", "line_number", "value")
-
-
-def rewrite(log: LogSet, doomed: Column, folder: str, drop_orphans: Column | None = None) -> None:
-    """Write what stays to a new folder; logs that lost every line stay as empty files."""
-    write_logs(surviving_lines(log, doomed, drop_orphans), folder)
-    names = log.index.select("file").distinct()
-    written = list_parts(log.spark, LogPath(folder, None, True)).select("file").distinct()
-    keep_emptied(names.join(written, "file", "left_anti"), folder)
+    kept = decided(log, doomed, keep=False, orphan=drop_orphans)
+    return kept.select("file", "block_no", "line_number", "value")
+
+
+def in_blocks_order(log: LogSet, lines: DataFrame) -> DataFrame:
+    """Lines dealt to tasks by file and block, so that part order is line order. The bounds come
+    from the bytes in the index: no text is read to find them."""
+    by_file = Window.partitionBy("file")
+    upto = by_file.orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = log.index.select(
+        "file", "block_no", F.coalesce(F.sum("n_bytes").over(upto), F.lit(0)).alias("before"))
+    files = log.index.groupBy("file").agg(F.sum("n_bytes").alias("n_bytes"))
+    # One row per log.
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(
+        "file", F.coalesce(F.sum("n_bytes").over(earlier), F.lit(0)).alias("start"))
+    width = max(log.size[1] // session.TASK_BYTES + 1, 1)
+    task = F.least(F.floor((F.col("start") + F.col("before")) / session.TASK_BYTES), F.lit(width - 1))
+    places = blocks.join(starts, "file").select("file", "block_no", task.cast("int").alias("task"))
+    placed = lines.join(broadcast_if_small(places, log.blocks), ["file", "block_no"])
+    return placed.repartitionById(width, "task").drop("task")
+
+
+def rewrite(log: LogSet, doomed: Column, folder: str, drop_orphans: Column | None = None) -> list[str]:
+    """Write the logs that lose a line to a new folder and name them; a log that lost every
+    line stays as an empty file."""
+    names = touched_logs(log, doomed, drop_orphans)
+    if names:
+        part = log.only(names)
+        kept = in_blocks_order(part, surviving_lines(part, doomed, drop_orphans))
+        write_logs(kept, folder)
+        keep_emptied(log.spark, names, folder)
+    return names

@@ -55,7 +55,7 @@ def detail_block(head: Column, json: Column, extra: Column, hours: int) -> Colum
         F.concat(F.lit(label["line"]), F.col("line_number").cast("string")),
         F.lit(""),
         # concat_ws leaves nulls out, so each part is there only when it applies.
-        F.when(json.isNull(), F.col("message")),
+        F.when(json.isNull() & (F.col("message") != ""), F.col("message")),
         F.when(head != "", F.concat(head, F.lit("\n"))),
         F.when(json.isNotNull(), F.concat(F.lit(label["json"] + "\n\n"), json)),
         F.when(extra.isNotNull(), F.concat(F.lit("\n" + label["extra"] + "\n\n"), extra)),

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from logweir.functions.header import clean_line, is_header
 
 BLOCK_KEYS = ["part", "block"]
-# A row of the index takes well under this much memory in a hash relation.
+# A row of the index holds a path and some numbers; it takes well under this much memory in a
+# hash relation.
 INDEX_ROW_BYTES = 512
-BROADCAST_LIMIT_BYTES = 1 << 30
+BROADCAST_LIMIT_BYTES = 1 << 28
 
 
 def block_index(raw: DataFrame, numbered: bool = False) -> DataFrame:
@@ -63,9 +64,13 @@ def text_size(index: DataFrame) -> tuple[int, int]:
     return row["blocks"], row["bytes"]
 
 
+def is_small(rows: int, row_bytes: int = INDEX_ROW_BYTES) -> bool:
+    return rows * row_bytes <= BROADCAST_LIMIT_BYTES
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = INDEX_ROW_BYTES) -> DataFrame:
     """Broadcast hint for a side of known size; beyond the bound a shuffled join is used."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
+    return F.broadcast(df) if is_small(rows, row_bytes) else df
 
 
 def number_lines(raw: DataFrame, index: DataFrame, index_rows: int) -> DataFrame:

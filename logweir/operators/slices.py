@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweir.operators.numbering import broadcast_if_small
+from logweir.plans.session import new_folder
+
 RANGE_LINES = 1 << 17
 ORDER = ["file", "line_number"]
 
@@ -27,10 +30,10 @@ def tail(entries: DataFrame, n: int) -> DataFrame:
 
 
 def tail_per_file(entries: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` entries of every file; each task passes on at most ``n`` per file."""
-    newest = Window.partitionBy("file").orderBy(F.desc("line_number"))
-    ranked = entries.withColumn("_rank", F.row_number().over(newest))
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
+    """The last ``n`` entries of every file, found by the counts of line ranges: whatever ``n``
+    is, no log is sorted, and ranges before the last entries go before anything is shuffled."""
+    first = F.col("total") - n + 1
+    return _placed(entries, first, F.col("total")).drop("position", "total")
 
 
 def _ranges() -> Column:
@@ -56,6 +59,11 @@ def _placed(entries: DataFrame, low: Column | None = None, high: Column | None =
     )
     if low is not None and high is not None:
         offsets = offsets.where((F.col("_before") < high) & (F.col("_before") + F.col("_n") >= low))
+        # The wanted ranges are counted: where they are few, all others go in the scan itself.
+        folder = new_folder(entries.sparkSession, "ranges")
+        offsets.write.parquet(folder)
+        offsets = entries.sparkSession.read.parquet(folder)
+        offsets = broadcast_if_small(offsets, offsets.count())
     inner = Window.partitionBy("file", "_range").orderBy("line_number")
     placed = ranged.join(offsets, ["file", "_range"]).withColumn(
         "position", F.col("_before") + F.row_number().over(inner)

@@ -71,16 +71,26 @@ def last_timestamp(headers: DataFrame) -> DataFrame:
 
 
 def tail_timestamp(texts: DataFrame) -> DataFrame:
-    """Time of the last header found in the last bytes of each log (A3, byte limit)."""
+    """``file, last_ts, found, cut_off`` from the last bytes of each log (A3): the time of the
+    last header in them, whether there is one, and whether the log goes back further.
+
+    The first line of a text that does not start where its part does is cut, so it is no header
+    that counts.
+    """
     lines = texts.select(
-        "file", "part_no", "part", F.posexplode(F.split("text", "\n")).alias("at", "line")
+        "file", "part_no", "part", "is_whole", F.posexplode(F.split("text", "\n")).alias("at", "line")
     ).withColumn("line", clean_line("line"))
-    heads = lines.where(is_header("line")).select(
-        "file",
-        F.struct("part_no", "part", "at").alias("place"),
+    counts = is_header("line") & ((F.col("at") > 0) | F.col("is_whole"))
+    typed = lines.select(
+        "file", "is_whole", counts.alias("counts"), F.struct("part_no", "part", "at").alias("place"),
         *header_columns("line"),
     )
-    return last_timestamp(heads)
+    return typed.groupBy("file").agg(
+        F.max_by(F.when(F.col("counts"), F.col("ts")), F.when(F.col("counts"), F.col("place")))
+        .alias("last_ts"),
+        F.bool_or("counts").alias("found"),
+        (~F.bool_and("is_whole")).alias("cut_off"),
+    )
 
 
 def is_recent(last_ts: Column, now: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
-from functools import cached_property
+from dataclasses import replace
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +13,13 @@ from pyspark.sql import functions as F
 from logweir.functions.header import clean_line, is_header
 from logweir.operators import assemble as asm
 from logweir.operators import delete, summaries
+from logweir.operators.carry import decided
 from logweir.operators.filters import LogFilter
-from logweir.operators.numbering import block_index, broadcast_if_small, number_lines, text_size
+from logweir.operators.numbering import block_index, number_lines, text_size
 from logweir.plans.session import configure, new_folder, shuffle_width
 from logweir.sources import files
+from logweir.sources.storage import readable
+
 
 class LogSet:
     """Lines, headers and entries over raw lines.
@@ -22,6 +27,9 @@ class LogSet:
     ``numbered`` says that positions are line numbers already; ``whole`` that no log is
     cut into blocks, so that nothing has to be carried from block to block.
 
+    ``source`` is where the logs are; ``rewritten`` where those are that ``source`` leaves out,
+    because a delete has written them anew.
+
     The block index is built by one scan on first use and kept as a small table in the
     shared folder, so later jobs read the text once and survive a lost executor.
     """
@@ -33,12 +41,14 @@ class LogSet:
         numbered: bool = False,
         whole: bool = False,
         source: files.LogPath | None = None,
+        rewritten: files.LogPath | None = None,
     ) -> None:
         self.spark = configure(spark)
         self.raw = raw
         self.numbered = numbered
         self.whole = whole
         self.source = source
+        self.rewritten = rewritten
 
     # ------------------------------------------------------------------ index and lines
 
@@ -92,15 +102,15 @@ class LogSet:
         return heads.where(where.to_column()) if where else heads
 
     def entries(self, where: LogFilter | None = None) -> DataFrame:
-        """Whole entries. A filter is decided on header lines alone, and blocks without a
-        matching header are left out before any text is shuffled."""
-        lines = self.lines()
+        """Whole entries. A filter is decided on header lines, and lines of other entries are
+        left out while they are scanned, before any text is shuffled."""
         if where is None or not where.is_active:
-            return asm.assemble(lines, self.partitions)
-        wanted = self._heads(where).select("file", "owner_no").distinct()
-        side = wanted if self.whole else broadcast_if_small(wanted, self.blocks)
-        kept = lines.join(side, ["file", "owner_no"], "left_semi")
-        return asm.assemble(kept, self.partitions).where(where.to_column())
+            return asm.assemble(self.lines(), self.partitions)
+        if self.whole:
+            wanted = self._heads(where).select("file", "owner_no").distinct()
+            kept = self.lines().join(wanted, ["file", "owner_no"], "left_semi")
+            return asm.assemble(kept, self.partitions).where(where.to_column())
+        return asm.assemble(decided(self, where.to_column(), keep=True), self.partitions)
 
     def row_counts(self) -> DataFrame:
         """Lines read per file, from the index alone."""
@@ -108,41 +118,105 @@ class LogSet:
 
     # ------------------------------------------------------------------------- catalog
 
+    @property
+    def sources(self) -> list[files.LogPath]:
+        return [s for s in (self.source, self.rewritten) if s is not None]
+
     def catalog(self, now: dt.datetime | Column | None = None, exact: bool = False) -> DataFrame:
         """Logs of the folder with size, last header time and recency.
 
-        The last header is looked for in the last 64 KiB of each file, so the catalog of a
-        big folder reads little; ``exact`` scans everything instead.
+        The last header is looked for in the last 64 KiB of each log, so the catalog of a big
+        folder reads little. Logs whose last entry is longer are scanned; so are all logs on
+        storage without byte access for tasks, or with ``exact``. The answer is the same.
         """
         if self.source is None:
             raise ValueError("a catalog needs logs that come from files")
-        found = files.file_catalog(self.spark, self.source)
-        if exact:
-            last = summaries.last_timestamp(self.unnumbered_headers())
+        catalogs, lasts = [], []
+        for source in self.sources:
+            parts = files.list_parts(self.spark, source)
+            catalogs.append(files.file_catalog(source, parts))
+            lasts += self._last_times(source, parts, exact)
+        found = reduce(DataFrame.unionByName, catalogs)
+        return summaries.with_recency(found, reduce(DataFrame.unionByName, lasts), now)
+
+    def _last_times(self, source: files.LogPath, parts: DataFrame, exact: bool) -> list[DataFrame]:
+        """Times of the last headers of the logs of a listing."""
+        if exact or not readable(source.folder):
+            names = {r["file"] for r in parts.select("file").distinct().collect()}
+            looked = []
         else:
-            last = summaries.tail_timestamp(files.tail_texts(self.spark, self.source))
-        return summaries.with_recency(found, last, now)
+            folder = new_folder(self.spark, "last-headers")
+            texts = files.tail_texts(parts, source.in_parts)
+            summaries.tail_timestamp(texts).write.parquet(folder)
+            seen = self.spark.read.parquet(folder)
+            looked = [seen.where("found").select("file", "last_ts")]
+            names = {r["file"] for r in seen.where("NOT found AND cut_off").collect()}
+        if names:
+            log = files_of(self.spark, replace(source, name=None, only=frozenset(names)))
+            looked.append(summaries.last_timestamp(log.unnumbered_headers()))
+        return looked or [self.spark.createDataFrame([], "file string, last_ts timestamp")]
 
     # -------------------------------------------------------------------------- deletes
 
+    def only(self, names: list[str]) -> LogSet:
+        """The same logs, these alone; they are the only ones scanned."""
+        if self.source is None:
+            raw = self.raw.where(F.col("file").isin(*names))
+            return LogSet(self.spark, raw, self.numbered, self.whole)
+        chosen = frozenset(names)
+        parts = []
+        if self.source.name is None or self.source.name in chosen:
+            parts.append((self.source, chosen - self.source.without))
+        if self.rewritten is not None:
+            parts.append((self.rewritten, chosen & self.rewritten.only))
+        raws = [files.scan_lines(self.spark, replace(s, only=c)) for s, c in parts if c]
+        return LogSet(self.spark, reduce(DataFrame.unionByName, raws))
+
     def without(self, doomed: Column, drop_orphans: Column | None = None) -> DataFrame:
-        """Lines that stay when the entries with ``doomed`` headers go."""
-        return delete.surviving_lines(self, doomed, drop_orphans)
+        """``file, line_number, value`` of the lines that stay when the entries with ``doomed``
+        headers go (D2). Logs without such a header are only scanned."""
+        fields = ["file", "line_number", "value"]
+        names = delete.touched_logs(self, doomed, drop_orphans)
+        if not names:
+            return self.lines().select(*fields)
+        kept = delete.surviving_lines(self.only(names), doomed, drop_orphans).select(*fields)
+        rest = self.lines().where(~F.col("file").isin(*names)).select(*fields)
+        return rest.unionByName(kept)
 
     def rewrite(self, doomed: Column, folder: str, drop_orphans: Column | None = None) -> LogSet:
-        """Write the surviving lines to a new folder and open it."""
-        delete.rewrite(self, doomed, folder, drop_orphans)
-        return open_logs(self.spark, folder)
+        """Write the logs that lose lines to a new folder, and open them there together with
+        all other logs where they are (S7, D6)."""
+        if self.source is None:
+            raise ValueError("only logs that come from files are rewritten")
+        folder = files.qualified(self.spark, folder)
+        names = frozenset(delete.rewrite(self, doomed, folder, drop_orphans))
+        if not names:
+            return self
+        if self.rewritten is not None:
+            raise ValueError("put the rewritten logs in place before the next delete")
+        source = replace(self.source, without=self.source.without | names)
+        return files_of(self.spark, source, files.LogPath(folder, None, True, only=names))
+
+
+def files_of(
+    spark: SparkSession, source: files.LogPath, rewritten: files.LogPath | None = None
+) -> LogSet:
+    """The logs of a place, and of another one for those that were rewritten."""
+    raws = []
+    for place in (source, rewritten):
+        if place is not None:
+            with contextlib.suppress(files.NoLogsFound):
+                raws.append(files.scan_lines(spark, place))
+    if not raws:
+        raise files.NoLogsFound(f"no log files in {source.folder}")
+    raw = reduce(DataFrame.unionByName, raws)
+    return LogSet(spark, raw, source=source, rewritten=rewritten)
 
 
 def open_logs(spark: SparkSession, path: str | None = None) -> LogSet:
     """Open a folder of logs or one log (S5). Raises when there is nothing to open."""
     configure(spark)
-    source = files.resolve_path(spark, path)
-    # A rewritten folder was recognised by the logs in it.
-    if not (source.name or source.in_parts) and files.list_parts(spark, source).isEmpty():
-        raise files.NoLogsFound(f"no log files in {source.folder}")
-    return LogSet(spark, files.scan_lines(spark, source), source=source)
+    return files_of(spark, files.resolve_path(spark, path))
 
 
 def logs_of_text(df: DataFrame, key: str, text: str) -> LogSet:

@@ -93,6 +93,22 @@ SIZES = """sizes AS (
     count(*) AS total FROM {0} GROUP BY file
 )"""
 
+# Lines of the events logs in eight kinds; 1 to 3 continue the entry before them.
+DIRTY = """kinds AS (SELECT *, line_number % 8 AS kind FROM e),
+heads AS (
+  SELECT *, CASE WHEN kind = 4 THEN 1380 ELSE tz_offset_min END AS zone,
+    CASE WHEN kind = 0 THEN least(line_number + 3, last_line) ELSE line_number END AS end_line
+  FROM (SELECT *, max(line_number) OVER (PARTITION BY file) AS last_line FROM kinds)
+  WHERE kind NOT IN (1, 2, 3)),
+tails AS (
+  SELECT file, line_number - kind AS line_number, string_agg(CASE kind
+      WHEN 1 THEN (['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun', 'Mon'])[
+        list_position(['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'], value[1:3]) + 1] || value[4:]
+      WHEN 2 THEN value[1:5] || '31 Feb' || value[12:]
+      ELSE replace(value, ' [' || level || '] request=', ' [VERBOSE] request=') END,
+    chr(10) ORDER BY line_number) AS extra_data
+  FROM kinds WHERE kind IN (1, 2, 3) GROUP BY file, line_number - kind)"""
+
 TEXT_TIME = "CAST({0} AS VARCHAR) AS {0}"
 
 
@@ -398,4 +414,27 @@ def statements() -> dict[str, str]:
         """SELECT file, line_number, level, message, FALSE AS is_new FROM e
         WHERE severity <= 4 AND contains(message, 'amount 2')"""
     )
+    sql["tail_missing"] = on_documents(
+        """SELECT file, line_number, CAST(1 AS BIGINT) AS generation, message, FALSE AS is_new
+        FROM d"""
+    )
+    sql["tail_same_size"] = on_documents(
+        """SELECT file, line_number, CAST(2 AS BIGINT) AS generation,
+          CASE WHEN line_number > 1 THEN 'DOCUMENT' || substr(message, 9) ELSE message END AS message,
+          FALSE AS is_new FROM d"""
+    )
+    sql["tail_renamed"] = on_documents(
+        """SELECT file || '.1' AS file, max(line_number) AS line_number,
+          CAST(1 AS BIGINT) AS generation, arg_max(message, line_number) AS message, FALSE AS is_new
+        FROM d GROUP BY file"""
+    )
+    sql["dirty_entries"] = on_events(
+        """SELECT file, line_number, CAST(end_line AS BIGINT) AS end_line,
+          CAST(ts_local - to_minutes(CAST(zone AS INTEGER)) AS VARCHAR) AS ts,
+          CAST(ts_local AS VARCHAR) AS ts_local, CAST(zone AS BIGINT) AS tz_offset_min, level,
+          message || CASE WHEN kind = 6 THEN ' {oops' ELSE '' END AS message, extra_data,
+          CASE WHEN kind <> 6 THEN '{"k":' || CAST(k AS VARCHAR) || '}' END AS json
+        FROM heads LEFT JOIN tails USING (file, line_number)""",
+        DIRTY,
+    )
     return sql

@@ -16,7 +16,7 @@ from logweir.functions import json_walk, text, times
 from logweir.operators import delete, details, slices, summaries
 from logweir.operators.filters import LogFilter
 from logweir.plans.logset import LogSet, logs_of_lines, logs_of_text, open_logs
-from logweir.plans.render import publish, rendered, text_table
+from logweir.plans.render import publish, rename_all, rendered, take_away, text_table
 from logweir.plans.session import configure, new_folder
 from logweir.plans.store import store_entries, stored_entries
 from logweir.sources.sinks import export_text
@@ -140,6 +140,14 @@ def assemble_conversations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def dirty_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of logs with broken headers, odd zones, CRLF ends and broken JSON."""
+    found = js.with_json(rendered(spark, sf, "dirty").entries())
+    return found.select(
+        *KEY, "end_line", instant("ts").alias("ts"), clock("ts_local").alias("ts_local"),
+        *long("tz_offset_min"), "level", "message", "extra_data", "json")
+
+
 def line_offset(spark: SparkSession, sf: str) -> DataFrame:
     """Numbering goes on after ten lines read before."""
     lines = text_table(spark, sf, "events").withColumn("line_number", F.col("line_number") + 10)
@@ -518,6 +526,39 @@ def tail_rotated(spark: SparkSession, sf: str) -> DataFrame:
     return state.current_entries().select(*KEY, *long("generation"), "level", "is_new")
 
 
+def _changed(base: str, sf: str, spark: SparkSession, change: Callable[[str], None]) -> DataFrame:
+    """State after all logs were read, something was done to the folder, and a second look."""
+    catch_up(spark, f"{base}/logs", f"{base}/out", f"{base}/checkpoint")
+    change(f"{base}/logs")
+    state = catch_up(spark, f"{base}/logs", f"{base}/out", f"{base}/checkpoint")
+    return state.current_entries().select(*KEY, *long("generation"), "message", "is_new")
+
+
+def tail_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """State after one log was gone at the second look: nothing is lost."""
+    base, _, every = _looks(spark, sf)
+    publish(every, f"{base}/logs")
+    return _changed(base, sf, spark, lambda logs: take_away(logs, "documents-de.log"))
+
+
+def tail_same_size(spark: SparkSession, sf: str) -> DataFrame:
+    """State after logs of the same size took the place of those that were read."""
+    base, _, every = _looks(spark, sf)
+    publish(every, f"{base}/logs")
+    header = (F.col("line_number") > 1) & F.contains("value", F.lit('] request="'))
+    other = F.replace(F.col("value"), F.lit('": document '), F.lit('": DOCUMENT '))
+    swapped = every.withColumn("value", F.when(header, other).otherwise(F.col("value")))
+    return _changed(base, sf, spark, lambda logs: publish(swapped, logs))
+
+
+def tail_renamed(spark: SparkSession, sf: str) -> DataFrame:
+    """State after every log was renamed: only its open entry is given out again."""
+    base, _, every = _looks(spark, sf)
+    publish(every, f"{base}/logs")
+    found = _changed(base, sf, spark, lambda logs: rename_all(logs, ".1"))
+    return found.where(F.endswith("file", F.lit(".1")))
+
+
 def tail_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """A filter on the stream; the events arrive at once, in many chunks."""
     base = new_folder(spark, "tail")
@@ -541,7 +582,7 @@ def registered() -> dict[str, Query]:
     plain = [
         scan_lines, file_catalog, log_names, open_one_log, line_totals, parse_headers,
         parse_timestamps, parse_levels, missing_requests, assemble_entries,
-        assemble_conversations, line_offset, parse_text, filter_shortcuts, filtered_entries, filtered_store,
+        assemble_conversations, dirty_entries, line_offset, parse_text, filter_shortcuts, filtered_entries, filtered_store,
         split_message, previews, typed_dates, timestamp_formats, shifted_times, entry_labels,
         severity_classes, size_labels, date_labels, detail_blocks, detail_of_crashes,
         message_json, first_line_json, json_blocks, normalized_json, json_fields,
@@ -550,7 +591,7 @@ def registered() -> dict[str, Query]:
         last_timestamps, recency, request_summary, template_summary, template_summary_events,
         level_summary, new_entries, delete_one_entry, delete_range, delete_by_filter,
         entries_after_delete, truncate_log, export_details, tail_growing, tail_rotated,
-        tail_filtered,
+        tail_filtered, tail_missing, tail_same_size, tail_renamed,
     ]
     found = {q.__name__: q for q in plain}
     found |= {name: filter_query(where) for name, where in FILTERS.items()}

@@ -7,6 +7,7 @@ events         one header line per event, JSON in the message, 4096 lines per lo
 documents      one log per language; header, two blank lines, the text, a blank line
 conversations  one log; header per turn, then the text of the turn
 crashes        one log per language; header and one JSON line with an ``exception``
+dirty          the events with broken headers, odd zones, CRLF ends and broken JSON in turn
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from logweir import fixed
 from logweir.plans.logset import LogSet, open_logs
 from logweir.plans.session import new_folder
 from logweir.sources.sinks import in_line_order, write_logs
-from logweir.sources.storage import locate
+from logweir.sources.storage import list_folder_times, locate
 
 EVENTS_PER_LOG = 4096
 EVENT_LEVELS = {
@@ -73,6 +74,30 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the events logs, eight kinds in turn. Kinds 1 to 3 are no headers, so each
+    log starts with lines that belong to no entry."""
+    value = F.col("value")
+    days = [F.lit(d) for d in fixed.WEEKDAYS]
+    place = F.array_position(F.array(*days), F.substring(value, 1, 3)).cast("int")
+    next_day = F.element_at(F.array(*days[1:], days[0]), place)
+    kinds = [
+        F.concat(value, F.lit("\r")),
+        F.concat(next_day, F.substring(value, 4, 1 << 20)),
+        F.concat(F.substring(value, 1, 5), F.lit("31 Feb"), F.substring(value, 12, 1 << 20)),
+        F.regexp_replace(value, r" \[[A-Z]+\] request=", " [VERBOSE] request="),
+        F.concat(F.substring(value, 1, 26), F.lit("+2300"), F.substring(value, 32, 1 << 20)),
+        F.concat(F.upper(F.substring(value, 1, 11)), F.substring(value, 12, 1 << 20)),
+        F.concat(value, F.lit(" {oops")),
+        value,
+    ]
+    kind = (F.col("line_number") % 8).cast("int")
+    dirty = kinds[-1]
+    for number, made in enumerate(kinds[:-1]):
+        dirty = F.when(kind == number, made).otherwise(dirty)
+    return event_lines(spark, sf_dir).withColumn("value", dirty)
+
+
 def _document_header(message: Column) -> Column:
     start = F.lit("2024-03-01").cast("timestamp_ntz")
     doc = F.col("doc_id")
@@ -139,6 +164,7 @@ TEXTS = {
     "documents": document_texts,
     "conversations": conversation_texts,
     "crashes": crash_texts,
+    "dirty": dirty_lines,
 }
 
 
@@ -183,6 +209,19 @@ def publish(lines: DataFrame, folder: str) -> None:
     ).save()
 
 
+def take_away(folder: str, name: str) -> None:
+    """A log is gone, as between two steps of a rotation."""
+    files, root = locate(folder)
+    files.create_dir(f"{root}-away", recursive=True)
+    files.move(f"{root}/{name}", f"{root}-away/{name}")
+
+
+def rename_all(folder: str, suffix: str) -> None:
+    files, root = locate(folder)
+    for name, *_ in list_folder_times(folder):
+        files.move(f"{root}/{name}", f"{root}/{name}{suffix}")
+
+
 def render(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Write one log set into the shared folder and give its path."""
     folder = new_folder(spark, f"rendered-{name}")

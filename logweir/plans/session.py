@@ -9,6 +9,8 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+from logweir.sources.storage import qualified
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Settings the JSON functions and the line numbers rely on.
@@ -27,13 +29,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is made only where none is set."""
+    """The cluster's checkpoint folder. Only a local session may go without one: there, one
+    machine is all the cluster."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="logweir-")
         context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return qualified(spark, folder)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.sources.storage import create_empty
+from logweir.sources.storage import create_empty, list_children
 
 # Fixed: characters that partition folder names escape.
 ESCAPED = "\"#%'*/:=?\\{[]^"
@@ -41,18 +38,13 @@ def in_line_order(lines: DataFrame, partitions: int | None = None) -> DataFrame:
     return lines.repartitionByRange(*keys)
 
 
-def keep_emptied(names: DataFrame, folder: str) -> None:
-    """Give logs without any kept line an empty part, as truncating a file leaves it."""
-
-    def touch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                create_empty(f"{folder}/file={folder_name(name)}/part-00000-empty.txt")
-            yield batch
-
-    names.select("file").mapInArrow(touch, "file string").write.format("noop").mode(
-        "overwrite"
-    ).save()
+def keep_emptied(spark: SparkSession, names: list[str], folder: str) -> None:
+    """Give logs without any written line an empty part, as truncating a file leaves it."""
+    written = {c.name for c in list_children(spark, folder) if c.is_folder}
+    for name in names:
+        own = f"file={folder_name(name)}"
+        if own not in written:
+            create_empty(spark, f"{folder}/{own}/part-00000-empty.txt")
 
 
 def folder_name(value: str) -> str:

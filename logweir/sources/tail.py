@@ -1,9 +1,10 @@
 """Streaming source for growing and rotating logs.
 
-The offset of a log is the byte after its last whole line, with a fingerprint of its first
-line. Only bytes behind the offset are read. A log that got shorter or starts with another
-line was rotated and is read again from the start; a log that is gone for a moment keeps
-its offset. Long ranges are cut into chunks, so a backlog of one log is read by many tasks.
+The offset of a log is the byte after its last whole line, with fingerprints of its first line
+and of that last one. Only bytes behind the offset are read. A log that got shorter, starts with
+another line, no longer has its last line where it was, or was written again without growing, was
+rotated and is read again from the start. A log that turns up under another name goes on there. A log that is gone for a moment
+keeps its offset. Long ranges are cut into chunks, so a backlog of one log is read by many tasks.
 """
 
 from __future__ import annotations
@@ -15,18 +16,20 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from logweir.sources.storage import list_folder, read_range
+from logweir.sources.storage import is_log, list_folder_times, read_range
 
-SCHEMA = "file string, reset boolean, block bigint, pos bigint, value string"
+SCHEMA = "file string, was string, reset boolean, block bigint, pos bigint, value string"
 CHUNK_BYTES = 32 * 1024 * 1024
 LOOK_BYTES = 64 * 1024
 
 
 @dataclass
 class ByteRange(InputPartition):
-    """Bytes of one log. ``skip_to_line`` marks a chunk that starts inside the range."""
+    """Bytes of one log. ``skip_to_line`` marks a chunk that starts inside the range; ``was``
+    is the name under which the bytes before the range were read, if it has changed."""
 
     file: str
+    was: str | None
     uri: str
     reset: bool
     start: int
@@ -47,12 +50,6 @@ class TailSource(DataSource):
         return TailReader(self.options["path"], int(self.options.get("chunkBytes", CHUNK_BYTES)))
 
 
-def is_log(name: str) -> bool:
-    """The name rule of ``functions.text.is_log_name`` for the listing on the driver."""
-    found, dot_log, suffix = name.rpartition(".log")
-    return bool(dot_log) and (suffix == "" or (suffix[0] == "." and len(suffix) > 1))
-
-
 class TailReader(DataSourceStreamReader):
     def __init__(self, folder: str, chunk_bytes: int) -> None:
         self.folder = folder.rstrip("/")
@@ -63,39 +60,86 @@ class TailReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        for name, is_folder, size in list_folder(self.folder):
+        here = {}
+        for name, is_folder, size, changed in list_folder_times(self.folder):
+            if is_folder or not is_log(name):
+                continue
+            here[name] = size
             known = self.seen.get(name)
-            if is_folder or not is_log(name) or (known and known["size"] == size and size):
+            if known and (known["size"], known["changed"]) == (size, changed) and size:
                 continue
             try:
-                end, head = self._whole_lines(name, size)
+                end, head, last = self._whole_lines(name, size)
             except OSError:
                 continue  # not there any more: try again next time
-            self.seen[name] = {"size": size, "end": end, "head": head}
-        return {name: {"end": s["end"], "head": s["head"]} for name, s in self.seen.items()}
-
-    def _whole_lines(self, name: str, size: int) -> tuple[int, str]:
-        """(byte after the last line end, fingerprint of the first line)."""
-        uri = f"{self.folder}/{name}"
-        at = size
+            self.seen[name] = {
+                "end": end, "head": head, "last": last, "size": size, "changed": changed}
+        # A log that goes on under another name is not waited for.
+        heads = {self.seen[n]["head"] for n in here if n in self.seen and self.seen[n]["head"]}
+        for name in [n for n in self.seen if n not in here and self.seen[n]["head"] in heads]:
+            del self.seen[name]
+        return {name: dict(state) for name, state in self.seen.items()}
+
+    def _rotated(self, name: str, before: dict, now: dict) -> bool:
+        """Whether what was read of a log before is no longer there."""
+        if now["end"] < before["end"] or before["head"] not in ("", now["head"]):
+            return True
+        if now["size"] == before["size"]:
+            # Nothing was appended, yet the file was written: it is another one.
+            return now["changed"] != before["changed"] and now["size"] > 0
+        try:
+            return bool(before["end"]) and self._last_line(name, before["end"]) != before["last"]
+        except OSError:
+            return False  # gone for a moment
+
+    def _whole_lines(self, name: str, size: int) -> tuple[int, str, str]:
+        """(byte after the last line end, fingerprints of the first and the last line)."""
+        end = self._line_end_before(name, size)
+        if not end:
+            return 0, "", ""
+        return end, self._first_line(name, end), self._last_line(name, end)
+
+    def _line_end_before(self, name: str, at: int) -> int:
         while at > 0:
             start = max(at - LOOK_BYTES, 0)
-            newline = read_range(uri, start, at - start).rfind(b"\n")
+            newline = read_range(f"{self.folder}/{name}", start, at - start).rfind(b"\n")
             if newline >= 0:
-                first = read_range(uri, 0, LOOK_BYTES).split(b"\n", 1)[0]
-                return start + newline + 1, hashlib.sha256(first).hexdigest()[:16]
+                return start + newline + 1
             at = start
-        return 0, ""
+        return 0
+
+    def _first_line(self, name: str, end: int) -> str:
+        """Hash of the whole first line and its length."""
+        digest, at = hashlib.sha256(), 0
+        while at < end:
+            piece = read_range(f"{self.folder}/{name}", at, min(LOOK_BYTES, end - at))
+            newline = piece.find(b"\n")
+            digest.update(piece if newline < 0 else piece[:newline])
+            if newline >= 0 or not piece:
+                return f"{digest.hexdigest()[:16]}:{at + max(newline, 0)}"
+            at += len(piece)
+        return f"{digest.hexdigest()[:16]}:{end}"
+
+    def _last_line(self, name: str, end: int) -> str:
+        """Hash of the last LOOK_BYTES at most of the line that ends here."""
+        start = max(end - LOOK_BYTES, 0)
+        line = read_range(f"{self.folder}/{name}", start, end - start)
+        if len(line) < end - start or not line.endswith(b"\n"):
+            return ""
+        return hashlib.sha256(line[:-1].rpartition(b"\n")[2]).hexdigest()[:16]
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
         ranges: list[ByteRange] = []
         for name, now in sorted(end.items()):
-            before = start.get(name)
-            if before == now:
+            before, was = start.get(name), None
+            if before is None:
+                was = _former_name(name, now, start, end)
+                before = start.get(was) if was else None
+            elif before == now:
                 continue
-            rotated = before is not None and (
-                now["end"] < before["end"] or before["head"] not in ("", now["head"])
-            )
+            rotated = before is not None and not was and self._rotated(name, before, now)
+            if before and not (rotated or was) and now["end"] == before["end"]:
+                continue  # an unfinished line has grown
             reset = before is None or rotated
             first = 0 if reset else before["end"]
             cuts = list(range(first, now["end"], self.chunk_bytes)) or [first]
@@ -103,7 +147,8 @@ class TailReader(DataSourceStreamReader):
                 stop = min(cut + self.chunk_bytes, now["end"])
                 ranges.append(
                     ByteRange(
-                        name, f"{self.folder}/{name}", reset, cut, stop, now["end"], cut > first
+                        name, was, f"{self.folder}/{name}", reset, cut, stop, now["end"],
+                        cut > first,
                     )
                 )
         return ranges
@@ -111,24 +156,39 @@ class TailReader(DataSourceStreamReader):
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         lines = read_lines(partition)
         if partition.start == partition.range_end:
-            lines = [None]  # an emptied log: one marker row carries the reset
+            lines = [None]  # an emptied or renamed log: one marker row says so
         n = len(lines)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([partition.file] * n, pa.string()),
+                pa.array([partition.was] * n, pa.string()),
                 pa.array([partition.reset] * n, pa.bool_()),
                 pa.array([partition.start] * n, pa.int64()),
                 pa.array(range(n), pa.int64()),
                 pa.array(lines, pa.string()),
             ],
-            names=["file", "reset", "block", "pos", "value"],
+            names=["file", "was", "reset", "block", "pos", "value"],
         )
 
 
+def _former_name(name: str, now: dict, start: dict, end: dict) -> str | None:
+    """The name a log was read under before: one with its first line that is gone now, or
+    has turned into another log."""
+    for old, before in sorted(start.items()):
+        moved = old not in end or end[old]["head"] != before["head"]
+        if moved and before["head"] and before["head"] == now["head"] and now["end"] >= before["end"]:
+            return old
+    return None
+
+
 def read_lines(part: ByteRange) -> list[str]:
-    """Lines that start inside the chunk; the last one may end behind it."""
+    """Lines that start inside the chunk; the last one may end behind it. A log that has been
+    cut short since it was looked at gives no line: the next look sees the rotation."""
     back = 1 if part.skip_to_line else 0
-    data = read_range(part.uri, part.start - back, part.end - part.start + back)
+    wanted = part.end - part.start + back
+    data = read_range(part.uri, part.start - back, wanted)
+    if len(data) < wanted:
+        return []
     if back:
         # The line that runs into this chunk belongs to the chunk before.
         cut = data.find(b"\n")
@@ -138,6 +198,8 @@ def read_lines(part: ByteRange) -> list[str]:
     at = part.end
     while data and not data.endswith(b"\n") and at < part.range_end:
         more = read_range(part.uri, at, min(LOOK_BYTES, part.range_end - at))
+        if not more:
+            return []
         newline = more.find(b"\n")
         data += more if newline < 0 else more[: newline + 1]
         at += len(more)

@@ -102,16 +102,18 @@ class Tail:
 
         After a reset nothing was read before, and the log begins a new generation.
         """
-        touched = rows.groupBy("file").agg(F.bool_or("reset").alias("reset"))
+        touched = rows.groupBy("file").agg(
+            F.bool_or("reset").alias("reset"), F.coalesce(F.max("was"), "file").alias("state_of"))
+        known = known.withColumnRenamed("file", "state_of")
         read = index.groupBy("file").agg(
             F.sum("n_lines").alias("n_lines"),
             F.max(F.col("last_head_pos") + F.col("shift")).alias("head_in_batch"),
         )
         begins = F.col("reset") | F.col("generation").isNull()
-        joined = touched.join(known, "file", "left").join(read, "file", "left")
+        joined = touched.join(known, "state_of", "left").join(read, "file", "left")
         kept = {"lines_before": "lines_read", "open_before": "open_line", "open_is_new": "open_is_new"}
         base = joined.select(
-            "file",
+            "file", "state_of",
             (F.coalesce("generation", F.lit(0)) + begins.cast("int")).alias("generation"),
             *[F.when(~F.col("reset"), F.col(old)).alias(new) for new, old in kept.items()],
             "n_lines",
@@ -119,7 +121,7 @@ class Tail:
         )
         before = F.coalesce("lines_before", F.lit(0))
         return base.select(
-            "file", "generation", *kept,
+            "file", "state_of", "generation", *kept,
             (before + F.coalesce("n_lines", F.lit(0))).alias("lines_read"),
             F.coalesce(F.col("head_in_batch") + before, F.col("open_before")).alias("last_head"),
         )
@@ -134,8 +136,10 @@ class Tail:
             "value",
             F.coalesce("owner_no", to_open).alias("owner_no"),
         )
-        held = pending.join(logs, "file").where(F.col("open_before").isNotNull())
-        held = held.select(*pending.columns, F.lit(0).cast("bigint").alias("owner_no"))
+        # Lines held under a former name go on under the new one.
+        old = pending.withColumnRenamed("file", "state_of")
+        held = old.join(logs, "state_of").where(F.col("open_before").isNotNull()).select(
+            *pending.columns, F.lit(0).cast("bigint").alias("owner_no"))
         return held.unionByName(appended)
 
     def _marked(self, entries: DataFrame, logs: DataFrame) -> DataFrame:

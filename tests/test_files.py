@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from logweir import LogFilter, open_logs
 from logweir.operators import delete, slices, summaries
-from logweir.sources.files import NoLogsFound
+from logweir.plans.session import shared_folder
+from logweir.sources import storage
+from logweir.sources.files import MixedLayouts, NoLogsFound
 from tests.logs import header, numbered, put, rows
 
 NOW = dt.datetime(2026, 4, 3, 9, 0)
@@ -37,18 +39,66 @@ def test_catalog(spark, tmp_path):
     got = catalog(log)
     assert {n: r[3] for n, r in got.items()} == {
         "a b+c%20.log": True, "json.log.1": True, "old.log": False, "disorder.log": False,
-        "future.log": True, "empty.log": False, "junk.log": False, "far.log": False,
+        "future.log": True, "empty.log": False, "junk.log": False, "far.log": True,
     }
     assert got["empty.log"] == (0, "0 B", True, False)
     assert got["far.log"][1] == "68.4 KB"
-    # The exact look also finds headers further than 64 KiB from the end.
-    exact = catalog(log, exact=True)
-    assert {n for n in got if got[n][3] != exact[n][3]} == {"far.log"}
+    # Headers further than 64 KiB from the end are found as well.
+    assert catalog(log, exact=True) == got
     assert {f for (f,) in rows(log.headers(), "file")} == {
         "a b+c%20.log", "json.log.1", "old.log", "disorder.log", "future.log", "far.log",
     }
 
 
+def test_folders_that_look_like_partitions(spark, tmp_path):
+    """A subfolder ``k=v`` neither hides the logs beside it nor is read; nor does the folder
+    itself, nor a file name, make columns."""
+    base = tmp_path / "dt=2024" / "x{1,2}[a]"
+    put(base, "a.log", numbered(5))
+    put(base, "file=x.log", numbered(2))
+    put(base, "year=2024/b.log", numbered(3))
+    log = open_logs(spark, str(base))
+    assert sorted(rows(log.row_counts(), "file", "lines_read")) == [("a.log", 5), ("file=x.log", 2)]
+    assert set(catalog(log)) == {"a.log", "file=x.log"}
+    assert open_logs(spark, str(base / "file=x.log")).headers().count() == 2
+
+
+def test_two_layouts_in_one_folder_are_refused(spark, tmp_path):
+    put(tmp_path, "a.log", numbered(5))
+    put(tmp_path, "file=b.log/part-00000.txt", numbered(1))
+    with pytest.raises(MixedLayouts):
+        open_logs(spark, str(tmp_path))
+
+
+def test_one_place_for_driver_and_tasks(spark, tmp_path):
+    """Paths without a scheme are under fs.defaultFS, for Spark and for the byte access."""
+    put(tmp_path, "a.log", numbered(2))
+    log = open_logs(spark, str(tmp_path))
+    assert log.source.folder.startswith("file:/")
+    assert shared_folder(spark).startswith("file:/")
+    assert storage.readable(log.source.folder) and not storage.readable("viewfs://x/y")
+    assert storage.readable("s3a://bucket/logs") and storage.readable("hdfs://name/logs")
+    assert [storage.locate(u)[1] for u in ("file:/x", "file:///x", "/x")] == ["/x"] * 3
+    with pytest.raises(ValueError):
+        storage.locate("wasbs://x/y")
+
+
+def test_deletes_touch_only_their_logs(spark, tmp_path):
+    for name in ("a.log", "b.log", "c.log"):
+        put(tmp_path / "in", name, numbered(4))
+    log = open_logs(spark, str(tmp_path / "in"))
+    doomed = delete.one_entry("b.log", 2)
+    left = log.without(doomed)
+    assert len(rows(left, "value")) == 11
+    after = log.rewrite(doomed, str(tmp_path / "out"))
+    assert [p.name for p in (tmp_path / "out").glob("file=*")] == ["file=b.log"]
+    assert sorted(rows(after.row_counts(), "file", "lines_read")) == [("a.log", 4), ("b.log", 3), ("c.log", 4)]
+    assert set(catalog(after)) == {"a.log", "b.log", "c.log"}
+    assert log.rewrite(F.lit(False), str(tmp_path / "unused")) is log
+    with pytest.raises(ValueError):
+        after.rewrite(doomed, str(tmp_path / "more"))
+
+
 def test_paths(spark, tmp_path, monkeypatch):
     with pytest.raises(NoLogsFound):
         open_logs(spark, str(tmp_path / "missing"))

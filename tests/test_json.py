@@ -1,5 +1,7 @@
 import json
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logweir import configure, logs_of_text
@@ -28,14 +30,14 @@ def test_only_one_whole_value_is_json(spark):
 
 def test_extract_json(spark):
     texts = [
-        'Request failed: {"code":404,"reason":"not found"}', "items: [1,2,3]", "plain error message",
-        "prefix {not valid json}", 'SQLSTATE[HY000] then {"a":1}', '- : {"b":2,"a":1}', 'x {"a":1}\ntail [',
+        'Checkout refused - {"basket":17,"why":"empty"}', "picked: [4,8]", "the queue is idle",
+        "mail {to: nobody}", 'query[7] then {"a":1}', '- : {"b":2,"a":1}', 'x {"a":1}\ntail [',
     ]
     assert values(spark, lambda v: js.extract_json(v)[0], *texts) == [
-        "Request failed", "items", None, None, None, "", "x",
+        "Checkout refused", "picked", None, None, None, "", "x",
     ]
     assert values(spark, lambda v: js.extract_json(v)[1], *texts) == [
-        '{"code":404,"reason":"not found"}', "[1,2,3]", None, None, None, '{"a":1,"b":2}', '{"a":1}',
+        '{"basket":17,"why":"empty"}', "[4,8]", None, None, None, '{"a":1,"b":2}', '{"a":1}',
     ]
 
 
@@ -44,52 +46,61 @@ def test_normalize_json(spark):
     assert got == ['{"a":[1,2],"b":1}', "plain text", None, '{"a":2}']
 
 
-def brute_blocks(text):
-    """All blocks by trying every end: the first end where brackets of the kind balance."""
-    found, i = [], 0
-    while i < len(text):
-        if text[i] not in "{[":
-            i += 1
-            continue
-        close, depth, inside, skip, j = {"{": "}", "[": "]"}[text[i]], 0, False, False, i
-        for j in range(i, len(text)):
-            c = text[j]
-            if skip:
-                skip = False
-            elif inside:
-                skip, inside = c == "\\", c != '"'
-            elif c == '"':
-                inside = True
-            elif c == text[i]:
-                depth += 1
-            elif c == close:
-                depth -= 1
-                if depth == 0:
-                    break
-        else:
-            return found
-        try:
-            json.loads(text[i : j + 1])
-            found.append((i, text[i : j + 1]))
-        except ValueError:
-            pass
-        i = j + 1
-    return found
-
-
-def test_json_blocks(spark):
-    texts = [
-        'a {"k":"}"} b [1,[2]] c {bad} {"x":"\\"}{"} ü {"y":[1}',
-        'ü€😀 {"a":{"b":[1]}} {"open": 1', "[1] ] } {} \\\"{\\\" []", 'x "{" [1]', "none", "",
-        '["a\\\\"] {"b":"\\\\\\""}',
-    ]
-    got = values(spark, lambda v: walk.json_blocks(v), *texts)
-    for text, blocks in zip(texts, got):
-        expected = [(i, walk.dump(json.loads(b))) for i, b in brute_blocks(text)]
-        assert [(b["char_offset"], b["json"]) for b in blocks] == expected, text
-    assert [(b["char_offset"], b["json"]) for b in got[0]] == [
-        (2, '{"k":"}"}'), (14, "[1,[2]]"), (30, '{"x":"\\"}{"}'),
-    ]
+# Blocks that are JSON, blocks that only balance, and text without brackets.
+GOOD = ['{"k":"}"}', "[1,[2]]", '{"x":"\\"}{"}', "{}", "[]", '{"a":{"b":[1]}}', '["a\\\\"]', '{"é":"😀"}']
+BALANCED = ["{bad}", "[1,]", "[x [y] z]", '{"a" "]}"}']
+FILLER = ["", " ", "ü€😀 ", 'say "hi" ', "a: b, ] } ", "\\ "]
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.tuples(st.sampled_from(FILLER), st.sampled_from(GOOD + BALANCED))), min_size=20))
+def test_json_blocks(spark, made):
+    """Texts put together from known blocks: each good one is found where it was put."""
+    texts, wanted = [], []
+    for pieces in made:
+        text, found = "", []
+        for filler, block in pieces:
+            text += filler
+            if block in GOOD:
+                found.append((len(text), json.loads(block)))
+            text += block
+        texts.append(text + " and {open")
+        wanted.append(found)
+    got = values(spark, walk.json_blocks, *texts)
+    assert [[(b["char_offset"], json.loads(b["json"])) for b in blocks] for blocks in got] == wanted
+
+
+ODD = [
+    r'{"exception":"x","a":"\ud800"}', r'{"exception":"x","a":"\ude00 \ud83d\ude00"}', '{"exception":1e400}',
+    '{"exception":1,"a":' + "9" * 400 + "}", '{"exception":' + "[" * 127 + "]" * 127 + "}",
+]
+FINE = {
+    r'{"a":"\ud83d\ude00","b":"\\\\ud800"}': r'{"a":"😀","b":"\\\\ud800"}',
+    '{"b":1.0,"a":[1.50,2e2,-0.0,1e-7]}': None, '{"a":1e300,"b":12345678901234567890123}': None,
+    '{"a":"1e999 [[["}': '{"a":"1e999 [[["}',
+}
+
+
+def test_texts_that_only_look_like_json_stay_text(spark):
+    """One rule in all functions, and no row that stops a job."""
+    assert values(spark, js.normalize_json, *ODD) == ODD
+    assert values(spark, walk.hide_exception, *ODD) == ODD
+    assert values(spark, walk.json_fields, *ODD) == [None] * len(ODD)
+    assert values(spark, lambda v: F.size(walk.json_blocks(v)), *ODD[:4]) == [0] * 4
+    assert values(spark, lambda v: js.extract_json(F.concat(F.lit("m "), v))[1], *ODD) == [None] * len(ODD)
+
+
+def test_all_functions_print_alike(spark):
+    texts = list(FINE)
+    plain = values(spark, js.normalize_json, *texts)
+    assert [p for p, t in zip(plain, texts) if FINE[t]] == [w for w in FINE.values() if w]
+    blocks = values(spark, walk.json_blocks, *texts)
+    assert [b[0]["json"] for b in blocks] == plain
+    hidden = [t[:-1] + ',"exception":{}}' for t in texts]
+    assert values(spark, walk.hide_exception, *hidden) == plain
+    numbers = values(spark, lambda v: F.to_json(walk.json_fields(v)), texts[1])[0]
+    shown = [f["value"] for f in json.loads(numbers)]
+    assert plain[1] == '{"a":[' + ",".join(shown[:4]) + '],"b":' + shown[4] + "}"
 
 
 DOC = '{"b":[1,{"exception":"in\\nner","z":null}],"a":{},"exception":{"t":1},"s":"one\\ntwo\\n"}'
@@ -146,6 +157,8 @@ def test_detail_of_a_plain_entry(spark):
     assert text.endswith("Request:    -\nComponent:  Vendor.Ext\nZeile:      1\n\nplain")
 
 
-def test_deep_documents_are_no_json():
-    assert walk.load("[" * 127 + "]" * 127)[0] and not walk.load("[" * 128 + "]" * 128)[0]
-    assert not walk.load("[" * 100_000 + "]" * 100_000)[0]
+def test_deep_documents_are_no_json(spark):
+    fits, deep, deeper = ("[" * n + "]" * n for n in (127, 128, 100_000))
+    assert [walk.load(t)[0] for t in (fits, deep, deeper)] == [True, False, False]
+    got = values(spark, lambda v: js.strict_json(v).isNotNull(), fits, deep, deeper, '"' + "[" * 200 + '"')
+    assert got == [True, False, False, True]

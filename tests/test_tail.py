@@ -1,10 +1,12 @@
 import json
+import time
 
 import pytest
 
 from logweir import LogFilter
-from logweir.sources.tail import ByteRange, TailReader, is_log, read_lines
-from logweir.streaming.tailing import catch_up
+from logweir.sources.storage import is_log
+from logweir.sources.tail import ByteRange, TailReader, read_lines
+from logweir.streaming.tailing import catch_up, follow
 from tests.logs import header, numbered, put, rows
 
 NAMES = ["line_number", "generation", "is_new", "is_open"]
@@ -69,6 +71,52 @@ def test_rotation_and_missing_file(tail):
     assert look().current_entries().count() == 9
 
 
+def test_rewrite_of_the_same_size(tail):
+    logs, look = tail
+    put(logs, "a.log", numbered(3))
+    look()
+    put(logs, "a.log", numbered(3).replace("Entry 3", "Entry 9"))
+    assert rows(look().current_entries(), "generation", "message") == [
+        (2, "Entry 1"), (2, "Entry 2"), (2, "Entry 9"),
+    ]
+
+
+def test_follow_looks_every_half_second(spark, tmp_path):
+    logs = tmp_path / "logs"
+    put(logs, "a.log", numbered(2))
+    seen = []
+    query = follow(
+        spark, str(logs), str(tmp_path / "out"), str(tmp_path / "checkpoint"),
+        each=lambda df, epoch: seen.extend(rows(df, "line_number", "is_new")))
+    try:
+        def wait(until):
+            end = time.monotonic() + 60
+            while not until() and time.monotonic() < end:
+                time.sleep(0.1)
+            assert until()
+
+        wait(lambda: (2, False) in seen)
+        put(logs, "a.log", numbered(3))
+        wait(lambda: (3, True) in seen)
+    finally:
+        query.stop()
+
+
+def test_renamed_log_goes_on(tail):
+    """A rotation by renaming gives nothing out twice; late lines count on."""
+    logs, look = tail
+    path = put(logs, "a.log", numbered(3))
+    look()
+    path.rename(logs / "a.log.1")
+    put(logs, "a.log", numbered(1, "ERROR"))
+    state = look()
+    names = ["file", "line_number", "generation", "level"]
+    assert rows(state.current_entries().where("level = 'ERROR'"), *names) == [("a.log", 1, 2, "ERROR")]
+    put(logs, "a.log.1", numbered(3) + "late\n" + numbered(1, "WARNING"))
+    got = rows(look().current_entries().where("file = 'a.log.1'"), "line_number", "extra_data", "level")
+    assert got == [(3, "late", "INFO"), (5, None, "WARNING")]
+
+
 def test_updates_reach_the_callback_filtered(tail):
     logs, look = tail
     seen = []
@@ -90,6 +138,37 @@ def test_offsets_without_spark(tmp_path):
     assert reader.latestOffset() == first
 
 
+def test_log_cut_short_after_it_was_looked_at(tmp_path):
+    path = put(tmp_path, "a.log", numbered(50))
+    reader = TailReader(str(tmp_path), 100)
+    parts = reader.partitions({}, reader.latestOffset())
+    path.write_text(numbered(1))
+    assert [read_lines(p) for p in parts[1:]] == [[]] * (len(parts) - 1)
+    path.write_text("")
+    assert [read_lines(p) for p in parts] == [[]] * len(parts)
+
+
+def test_first_lines_that_differ_late(tmp_path):
+    long = "x" * 200_000
+    put(tmp_path, "a.log", long + "a\n")
+    reader = TailReader(str(tmp_path), 1 << 20)
+    first = reader.latestOffset()
+    put(tmp_path, "a.log", long + "b\nmore\n")
+    second = reader.latestOffset()
+    assert [p.reset for p in reader.partitions(first, second)] == [True]
+
+
+def test_gone_names_leave_the_offset(tmp_path):
+    put(tmp_path, "a.log", numbered(3))
+    reader = TailReader(str(tmp_path), 1 << 20)
+    first = reader.latestOffset()
+    (tmp_path / "a.log").rename(tmp_path / "a.log.1")
+    second = reader.latestOffset()
+    assert set(second) == {"a.log.1"}
+    parts = reader.partitions(first, second)
+    assert [(p.file, p.was, p.reset, p.start == p.end) for p in parts] == [("a.log.1", "a.log", False, True)]
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 3, 7, 40, 1000])
 def test_chunks_cover_every_line_once(tmp_path, chunk):
     text = "a\n\nbb\nccc\n" + "d" * 50 + "\n\n\ne\n"
