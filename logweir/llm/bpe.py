@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 # Words whose ids a task remembers; beyond it starts afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 # Texts with characters from here on are normalised and cut by the library itself.
 FIRST_OTHER = 0x300
 
@@ -57,45 +57,50 @@ class Encoder:
     def __init__(self, text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         spec = json.loads(text)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.pairs = inner_pairs(model["vocab"], self.suffix)
-        self.whole = Tokenizer.from_str(text)
+        # Normaliser and pre-tokenizer alone, without a second copy of the vocabulary.
+        self.whole = Tokenizer.from_str(json.dumps(
+            spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
         plain = spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
         self.last = Tokenizer.from_str(json.dumps(plain))
         self.inner = Tokenizer.from_str(
             json.dumps(plain | {"model": model | {"end_of_word_suffix": None}}))
-        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile(
             "(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")"
         ) if self.special else None
         self.words = _word_pattern()
         self.other = re.compile(f"[{chr(FIRST_OTHER)}-{chr(0x10FFFF)}]")
-        self.known: dict[str, array] = {}
+        self.known: dict[str, bytes] = {}
         self.byte_char = _byte_chars()
 
     def fragments(self, word: str) -> list[str]:
         """A word in byte characters, cut at every pair that no token holds."""
-        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
+        pairs = self.pairs
+        cuts = [i for i, (a, b) in enumerate(zip(word, word[1:]), 1) if a + b not in pairs]
+        if not cuts:
+            return [word]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
     def learn(self, words: list[str], mapped: bool) -> None:
-        """Remembers the ids of words; each distinct fragment is encoded once."""
+        """Remembers the ids of words as int32 bytes; each distinct fragment is encoded once."""
         byte_words = words if mapped else [
-            "".join(map(self.byte_char.__getitem__, w.encode())) for w in words]
+            w if w.isascii() and w.isprintable()
+            else "".join(map(self.byte_char.__getitem__, w.encode())) for w in words]
         cut = [self.fragments(w) for w in byte_words]
         inner = list({f for c in cut for f in c[:-1]})
         last = list({c[-1] for c in cut})
         inner_ids = dict(zip(inner, (e.ids for e in self.inner.encode_batch(inner))))
         last_ids = dict(zip(last, (e.ids for e in self.last.encode_batch(last))))
         for word, parts in zip(words, cut):
-            ids = array("i", chain.from_iterable(inner_ids[p] for p in parts[:-1]))
-            ids.extend(last_ids[parts[-1]])
-            self.known[("\0" + word) if mapped else word] = ids
+            ids = array("i", last_ids[parts[-1]])
+            if len(parts) > 1:
+                ids = array("i", chain.from_iterable(inner_ids[p] for p in parts[:-1])) + ids
+            self.known[("\0" + word) if mapped else word] = ids.tobytes()
 
     def _split(self, text: str) -> tuple[list[str], bool]:
         """The words of a text without special tokens; whether they are byte characters."""
@@ -111,7 +116,8 @@ class Encoder:
             self.special[s] if s in self.special else self._split(s)
             for s in self.special_pattern.split(text) if s]
 
-    def encode(self, texts: list[str]) -> list[array]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as int32 bytes."""
         sections = [self._sections(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -126,19 +132,18 @@ class Encoder:
                 new.difference_update(self.known)
             if new:
                 self.learn(list(new), mapped)
+        known = self.known.__getitem__
         found = []
         for parts in sections:
-            ids = array("i")
+            ids = []
             for section in parts:
                 if isinstance(section, int):
-                    ids.append(section)
+                    ids.append(array("i", [section]).tobytes())
                 elif section[1]:
-                    for word in section[0]:
-                        ids.extend(self.known["\0" + word])
+                    ids += [known("\0" + word) for word in section[0]]
                 else:
-                    for word in map(self.known.__getitem__, section[0]):
-                        ids.extend(word)
-            found.append(ids)
+                    ids += map(known, section[0])
+            found.append(b"".join(ids))
         return found
 
 
@@ -176,8 +181,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         def work(columns: list) -> dict:
             texts, rows = columns
             found = encoder.encode([t.decode() for t in texts])
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.frombuffer(b"".join(map(memoryview, found)), np.int32)
+            ends = (np.cumsum([0, *map(len, found)]) // 4).astype(np.int32)
+            flat = np.frombuffer(b"".join(found), np.int32)
             return {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "row": rows}
 
         yield from common.by_chunk(work, ["t", "row"], schema)(batches)
