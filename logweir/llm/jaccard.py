@@ -26,6 +26,8 @@ RECALL = 0.9999
 ROWS = 5
 # Buckets up to this size are compared whole by signature, larger ones through leaders.
 SMALL_BUCKET = 64
+# Larger buckets are dealt to parts of about this many nodes.
+SPLIT_BUCKET = 512
 BLOCK_ROWS = 1 << 14
 # Nodes and shingles of a tile; two tiles are held by a task.
 TILE_NODES = 256
@@ -128,13 +130,18 @@ def _local_roots(linked: np.ndarray) -> np.ndarray:
 
 
 class _Bucket:
-    """Members of one bucket as they stream by in blocks."""
+    """Members of one bucket, or of a part of one, as they stream by in blocks.
 
-    def __init__(self):
+    The leaders of a part hang under ``hub``, a number that stands for the whole bucket: so
+    parts need not be compared with each other, and whoever is alike is connected.
+    """
+
+    def __init__(self, hub: int | None = None):
         self.leaders: list[tuple[int, np.ndarray]] = []
+        self.hub = hub
 
     def block(self, nodes: np.ndarray, sigs: np.ndarray, whole: bool) -> list[tuple]:
-        if whole and len(nodes) <= SMALL_BUCKET:
+        if whole and self.hub is None and len(nodes) <= SMALL_BUCKET:
             alike = (sigs[:, None, :] == sigs[None, :, :]).mean(axis=2) >= PASS
             roots = _local_roots(alike)
             hung = np.flatnonzero(roots != np.arange(len(nodes)))
@@ -145,6 +152,8 @@ class _Bucket:
         while len(nodes):
             node, sig = nodes[0], sigs[0]
             self.leaders.append((node, sig))
+            if self.hub is not None:
+                edges.append((np.array([node]), np.array([self.hub])))
             nodes, sigs = self._follow(node, sig, nodes[1:], sigs[1:], edges)
         return edges
 
@@ -159,7 +168,7 @@ class _Bucket:
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate edges of buckets; rows come sorted by bucket."""
+    """Candidate edges of buckets; rows come sorted by bucket and part."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     current, state, held = None, _Bucket(), []
 
@@ -181,16 +190,20 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         out = []
         buckets = batch.column("bucket").to_numpy()
+        parts = batch.column("part").to_numpy()
+        split = batch.column("split").to_numpy(zero_copy_only=False)
         nodes = batch.column("node").to_numpy()
         sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(
             len(nodes), -1)
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(buckets)) + 1, [len(buckets)]))
+        new = (buckets[1:] != buckets[:-1]) | (parts[1:] != parts[:-1])
+        cuts = np.concatenate(([0], np.flatnonzero(new) + 1, [len(buckets)]))
         for first, last in zip(cuts[:-1], cuts[1:]):
             if first == last:
                 continue
-            if buckets[first] != current:
+            if (buckets[first], parts[first]) != current:
                 out += flush(whole=not state.leaders)
-                current, state = buckets[first], _Bucket()
+                current = (buckets[first], parts[first])
+                state = _Bucket(int(buckets[first]) if split[first] else None)
             held.append((nodes[first:last], sigs[first:last]))
             if sum(len(h[0]) for h in held) >= BLOCK_ROWS:
                 out += flush(whole=False)
@@ -202,14 +215,21 @@ def candidate_edges(signed: DataFrame) -> DataFrame:
     """Edges between nodes that share a band and look alike by signature."""
     banded = signed.where(f"node <> {_EMPTY}").select("node", F.explode("bands").alias("bucket"))
     shared = common.saved(
-        banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .where("low <> high").select(F.col("bucket").alias("shared")), "jaccard-buckets")
-    members = banded.join(shared, F.col("bucket") == F.col("shared"), "left_semi").distinct()
+        banded.groupBy("bucket").agg(
+            F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"))
+        .where("low <> high").select(
+            F.col("bucket").alias("shared"),
+            F.ceil(F.col("n") / SPLIT_BUCKET).cast("int").alias("parts")), "jaccard-buckets")
+    members = banded.join(shared, F.col("bucket") == F.col("shared")).select(
+        "bucket", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"),
+        (F.col("parts") > 1).alias("split")).distinct()
     sigs = signed.where(f"node <> {_EMPTY}").groupBy(F.col("node").alias("sig_of")).agg(
         F.first("sig").alias("sig"))
-    rows = members.join(sigs, F.col("node") == F.col("sig_of")).select("bucket", "node", "sig")
+    rows = members.join(sigs, F.col("node") == F.col("sig_of")).select(
+        "bucket", "part", "split", "node", "sig")
     width = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_rows = rows.repartition(width, "bucket").sortWithinPartitions("bucket", "node")
+    keys = ["bucket", "part"]
+    sorted_rows = rows.repartition(width, *keys).sortWithinPartitions(*keys, "node")
     return sorted_rows.mapInArrow(_bucket_edges, "a bigint, b bigint").distinct()
 
 

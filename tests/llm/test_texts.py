@@ -200,9 +200,11 @@ def test_jaccard(documents, monkeypatch, tile):
     assert got == sort(brute_jaccard(rows))
 
 
-def test_large_buckets_lead_to_the_same_links(documents, monkeypatch):
+@pytest.mark.parametrize("split", [9, 512])
+def test_large_buckets_lead_to_the_same_links(documents, monkeypatch, split):
     monkeypatch.setattr(jaccard, "SMALL_BUCKET", 1)
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(jaccard, "SPLIT_BUCKET", split)
     rows = near_copies(80, seed=9)
     got = sort(map(tuple, jaccard.jaccard_join(documents(rows)).collect()))
     assert got == sort(brute_jaccard(rows))
