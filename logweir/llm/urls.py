@@ -61,6 +61,20 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
         .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
+def frequent_words(pages: DataFrame, html: str = "html") -> dict[str, int]:
+    """The MODEL_WORDS most frequent words with their counts.
+
+    A quantile of the counts leaves about as many rows before they are ordered, so that a task
+    does not send its own MODEL_WORDS to the driver.
+    """
+    counts = common.saved(word_counts(pages, html), "url-words")
+    total = counts.count()
+    share = max(1 - MODEL_WORDS / max(total, 1), 0.0)
+    least = counts.agg(F.percentile_approx("n", share, 10_000)).first()[0] or 0
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(MODEL_WORDS)
+    return {r["word"]: r["n"] for r in top.collect()}
+
+
 class Segmenter:
     """Splits a name into the words with the highest product of unigram probabilities."""
 
@@ -158,8 +172,7 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     named columns are read. Broadcast are MODEL_WORDS words and FEATURES + 1 numbers at most.
     """
     spark = pages.sparkSession
-    top = word_counts(pages, html).orderBy(F.desc("n"), "word").limit(MODEL_WORDS)
-    words = spark.sparkContext.broadcast({r["word"]: r["n"] for r in top.collect()})
+    words = spark.sparkContext.broadcast(frequent_words(pages, html))
     named = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"))
     host, path = url_parts(F.col("url"))
     parted = named.select("page_id", host.alias("host"), path.alias("path"))
