@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from . import common
 
 # Words whose ids a task remembers; beyond it starts afresh.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
+# Words that a task looks up in one call; each call's result objects are large.
+LEARNED = 1 << 12
 # Texts with characters from here on are normalised and cut by the library itself.
 FIRST_OTHER = 0x300
 
@@ -127,11 +129,11 @@ class Encoder:
                 if not isinstance(section, int) and section[1] == mapped:
                     new.update(section[0])
             if mapped:
-                new = {w for w in new if "\0" + w not in self.known}
+                new = [w for w in new if "\0" + w not in self.known]
             else:
-                new.difference_update(self.known)
-            if new:
-                self.learn(list(new), mapped)
+                new = [w for w in new if w not in self.known]
+            for first in range(0, len(new), LEARNED):
+                self.learn(new[first : first + LEARNED], mapped)
         known = self.known.__getitem__
         found = []
         for parts in sections:
