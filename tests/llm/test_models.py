@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,32 @@ def test_recall_on_the_table(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = sum(len(got[q] & {i for i, _ in w}) for q, w in want.items())
     assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_recall_does_not_fall_with_the_table(spark):
+    rng = np.random.default_rng(21)
+    for count, step in ((5_000, 50), (50_000, 500)):
+        vectors = rng.standard_normal((count, 64))
+        units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        asked = np.arange(0, count, step)
+        sims = units[asked] @ units.T
+        sims[np.arange(len(asked)), asked] = -2
+        want = {int(q): set(np.argsort(-s)[:5].tolist()) for q, s in zip(asked, sims)}
+        frame = spark.createDataFrame(pa.table({
+            "vec_id": np.arange(count), "embedding": vectors.tolist()})).repartition(8)
+        if count > 5_000:
+            # The graph of the large table is left out: the scan alone has to find all.
+            nodes = neighbours.usable_vectors(
+                frame.select("vec_id", F.col("embedding").alias("v"))).select(
+                F.col("vec_id").alias("node"), F.col("vec_id").alias("least"), "vec")
+            queries = nodes.where(F.col("node") % step == 0).select(
+                F.col("node").alias("query"), "vec", F.lit(-2.0).alias("bound"))
+            found = [(r["query"], r["id"]) for r in neighbours.scan(
+                nodes, queries, len(asked), 64, 6).collect()]
+        else:
+            found = [(r.query_id, r.vec_id) for r in neighbours.nearest(
+                frame, F.col("vec_id") % step == 0).collect()]
+        got = {}
+        for q, i in found:
+            got.setdefault(q, set()).add(i)
+        assert {q: ids - {q} for q, ids in got.items()} == want
