@@ -242,3 +242,30 @@ def test_recall_does_not_fall_with_the_table(spark):
         for q, i in found:
             got.setdefault(q, set()).add(i)
         assert {q: ids - {q} for q, ids in got.items()} == want
+
+
+def test_neighbours_among_near_copies(spark):
+    rng = np.random.default_rng(31)
+    base = rng.standard_normal(64)
+    rows = [(i, (base + 0.001 * rng.standard_normal(64)).tolist()) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(frame, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute_nearest(rows, set(range(0, 1000, 50)))
+    assert got == {q: [i for i, _ in found] for q, found in want.items()}
+
+
+def test_neighbours_of_a_vector_alone_in_its_leaves(spark):
+    rng = np.random.default_rng(32)
+    base = rng.standard_normal(64)
+    rows = [(i, (base + 0.01 * rng.standard_normal(64)).tolist()) for i in range(1000)]
+    rows.append((1000, (-base).tolist()))
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [r.vec_id for r in neighbours.nearest(frame, F.col("vec_id") == 1000).orderBy("rank").collect()]
+    assert got == [i for i, _ in brute_nearest(rows, {1000})[1000]]
+    nodes = spark.createDataFrame(
+        [(i, bytearray(neighbours._short(np.array([v]))[0].tobytes())) for i, v in rows],
+        "node bigint, short binary")
+    listed = neighbours.first_lists(nodes, len(rows), 64).where("node = 1000")
+    assert listed.count() > 0
