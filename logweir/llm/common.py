@@ -8,6 +8,7 @@ time in array operations and its memory follows the chunk, not the Arrow batch.
 from __future__ import annotations
 
 import sys
+import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -63,6 +64,25 @@ def ship(spark: SparkSession) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 
 
+def once(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, built once per Python process: tasks of a reused worker share it.
+    The module that keeps it is none of the package, whose functions each task unpickles anew."""
+    kept = sys.modules.setdefault("_kept_by_process", types.ModuleType("_kept_by_process")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+class Sent:
+    """An object that is broadcast with its class by value."""
+
+    def __init__(self, spark: SparkSession, thing: object):
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+    def get(self) -> object:
+        return cloudpickle.loads(self.packed.value)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads every bit."""
     x = values.astype(np.uint64, copy=True)

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, html, jaccard, language, lines, mixing, neighbours, quality, substrings, urls
+from . import (
+    alignment, bpe, common, fingerprints, html, jaccard, language, lines, middle, mixing, neighbours,
+    quality, substrings, urls)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +25,9 @@ def registered() -> dict[str, Query]:
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_html_text": html.op9_html_text,
         "op10_substring_dedup": substrings.op10_substring_dedup,
+        "op11_token_alignment": alignment.op11_token_alignment,
+        "op12_fill_in_middle": middle.op12_fill_in_middle,
+        "op13_fingerprints": fingerprints.op13_fingerprints,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
@@ -42,4 +47,6 @@ def statements() -> dict[str, str]:
         "op3_mix_sources": mixing.OP3_SQL,
         "op8_line_dedup": lines.OP8_SQL,
         "op10_substring_dedup": substrings.OP10_SQL,
+        "op12_fill_in_middle": middle.OP12_SQL,
+        "op13_fingerprints": fingerprints.OP13_SQL,
     }
