@@ -81,15 +81,22 @@ class Aligner:
         self.names = [f"{i}{s}" for n, seps in ((len(a_bytes), ",|"), (len(ids), ",;"))
                       for s in seps for i in range(n)]
 
-    def encode(self, text: bytes) -> tuple[np.ndarray, list[int]]:
-        """Ids of A and B; none when the text is empty or they do not spell a space and it."""
-        if text:
-            plain, body = text.decode(), b" " + text
-            a, b = self.a.encode_to_numpy(" " + plain), self.b.encode(plain, num_threads=1)
-            if (b"".join(map(self.b_bytes.__getitem__, b)) == body
+    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and B of each text; none when it is empty or they do not spell a space and it."""
+        plain, found = [t.decode() for t in texts], []
+        for text, words, ids in zip(texts, plain, self.b.encode(plain, num_threads=1)):
+            a, body = self.a.encode_to_numpy(" " + words), b" " + text
+            if (text and b"".join(map(self.b_bytes.__getitem__, ids)) == body
                     and self.a_sizes[a].sum() == len(body)):
-                return a, b
-        return np.zeros(0, np.uint32), []
+                found.append((a, np.array(ids, dtype=np.int32)))
+            else:
+                found.append((a[:0], np.zeros(0, np.int32)))
+        return found
+
+
+def _earlier(marks: np.ndarray) -> np.ndarray:
+    """How many marks stand before each place."""
+    return np.cumsum(marks) - marks
 
 
 class Aligned:
@@ -101,18 +108,19 @@ class Aligned:
 
     def __init__(self, aligner: Aligner, texts: list[bytes]):
         self.aligner = aligner
-        found = [aligner.encode(t) for t in texts]
+        found = aligner.encode(texts)
         self.n_a = np.array([len(a) for a, _ in found], dtype=np.int64)
         self.n_b = np.array([len(b) for _, b in found], dtype=np.int64)
-        self.a = np.concatenate([np.zeros(0, np.int64), *[a for a, _ in found]]).astype(np.int64)
-        self.b = np.fromiter((i for _, b in found for i in b), np.int64, int(self.n_b.sum()))
+        none = [np.zeros(0, np.int32)]
+        self.a = np.concatenate(none + [a for a, _ in found]).astype(np.int64)
+        self.b = np.concatenate(none + [b for _, b in found]).astype(np.int64)
         self.a_ends, self.b_ends = np.cumsum(aligner.a_sizes[self.a]), np.cumsum(aligner.b_sizes[self.b])
         size = int(self.a_ends[-1]) if len(self.a) else 0
         self.ends_a, self.ends_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
         self.ends_a[self.a_ends] = True
         self.ends_b[self.b_ends] = True
         cuts = np.flatnonzero(self.ends_a | self.ends_b)
-        a_of, b_of = np.searchsorted(self.a_ends, cuts), np.searchsorted(self.b_ends, cuts)
+        a_of, b_of = _earlier(self.ends_a[cuts]), _earlier(self.ends_b[cuts])
         self.links = (self.a[a_of] << 32) | self.b[b_of]
         self.common = np.flatnonzero(self.ends_a & self.ends_b)
         self.a_bounds, self.b_bounds = (
@@ -126,14 +134,14 @@ class Aligned:
 
     def groups(self) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each text: the ids between positions where both end."""
-        group_a = np.searchsorted(self.common, self.a_ends)
-        group_b = np.searchsorted(self.common, self.b_ends)
+        last_a, last_b = self.ends_b[self.a_ends], self.ends_a[self.b_ends]
+        group_a, group_b = _earlier(last_a), _earlier(last_b)
+        a_upto, b_upto = np.cumsum(np.bincount(group_a)), np.cumsum(np.bincount(group_b))
+        b_before = np.concatenate(([0], b_upto[:-1]))
         n_a, n_b = len(self.aligner.a_sizes), len(self.aligner.b_sizes)
         codes = np.empty(len(self.a) + len(self.b), dtype=np.int64)
-        codes[np.arange(len(self.a)) + np.searchsorted(group_b, group_a)] = (
-            self.a + n_a * self.ends_b[self.a_ends])
-        codes[np.arange(len(self.b)) + np.searchsorted(group_a, group_b, side="right")] = (
-            2 * n_a + self.b + n_b * self.ends_a[self.b_ends])
+        codes[np.arange(len(self.a)) + b_before[group_a]] = self.a + n_a * last_a
+        codes[np.arange(len(self.b)) + a_upto[group_b]] = 2 * n_a + self.b + n_b * last_b
         bounds = (self.a_bounds + self.b_bounds).tolist()
         name = self.aligner.names.__getitem__
         return ["".join(map(name, codes[lo:hi].tolist()))[:-1]
@@ -305,13 +313,15 @@ class PairCounts:
 
     def sums(self, links: np.ndarray, times: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """Links that are best, and the sum of counts, of each text's run of links."""
-        at = np.arange(len(links)) if self.slices == 1 else np.flatnonzero(
-            _slice_of(links, self.slices) == self.number)
-        found = self.index.find(links[at])
+        pairs = np.unique(links)
+        mine = np.ones(len(pairs), bool) if self.slices == 1 else (
+            _slice_of(pairs, self.slices) == self.number)
+        found, at = self.index.find(pairs[mine]), np.searchsorted(pairs, links)
         totals = []
         for values in (self.best, self.counts):
-            each = np.zeros(len(links), dtype=np.int64)
-            each[at] = values[found] * times[at]
+            value = np.zeros(len(pairs), dtype=np.int64)
+            value[mine] = values[found]
+            each = value[at] * times
             upto = np.concatenate(([0], np.cumsum(each)))
             totals.append(upto[bounds[1:]] - upto[bounds[:-1]])
         return totals

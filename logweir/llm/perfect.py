@@ -12,14 +12,15 @@ import numpy as np
 
 from . import common
 
-# Bits of a level per key that is left.
+# Bits of a level per key that is left, at least; a level's words are a power of two.
 ROOM = 2
 _SEED = 0x9E3779B97F4A7C15
 
 
 def _slots(keys: np.ndarray, level: int, words: int) -> np.ndarray:
+    """The bit of each key: the upper bits of its hash, as many as number the level's bits."""
     seed = np.uint64(_SEED * (level + 1) & 0xFFFFFFFFFFFFFFFF)
-    return (common.mix(keys ^ seed) % np.uint64(64 * words)).astype(np.int64)
+    return (common.mix(keys ^ seed) >> np.uint64(65 - (64 * words).bit_length())).astype(np.int64)
 
 
 class PerfectHash:
@@ -35,7 +36,7 @@ class PerfectHash:
         """The hash of distinct uint64 keys."""
         sizes, levels, left = [], [], keys
         while len(left):
-            words = -(-ROOM * len(left) // 64)
+            words = 1 << (-(-ROOM * len(left) // 64) - 1).bit_length()
             slots = _slots(left, len(sizes), words)
             single = np.bincount(slots, minlength=64 * words) == 1
             sizes.append(words)
