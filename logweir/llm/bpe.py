@@ -7,13 +7,14 @@ far more often than texts, so a task encodes each of them once.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-# Words whose ids a task remembers; beyond it starts afresh.
-REMEMBERED = 1 << 17
-# Words that a task looks up in one call; each call's result objects are large.
+# Words whose ids a process remembers; beyond it forgets the older half.
+REMEMBERED = 1 << 18
+# Words that are cut and encoded in one call; each call's result objects are large.
 LEARNED = 1 << 12
+# Stands between fragments that are encoded in one call; no byte character.
+_BREAK = "\n"
 # Texts with characters from here on are normalised and cut by the library itself.
 FIRST_OTHER = 0x300
 
@@ -63,11 +66,21 @@ class Encoder:
         spec = json.loads(text)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
+        self.byte_char = "".join(_byte_chars())
+        self.byte_of = {c: b for b, c in enumerate(self.byte_char)}
         self.pairs = inner_pairs(model["vocab"], self.suffix)
+        # Whether two bytes, one after the other, stand inside some token.
+        self.joined = np.zeros((256, 256), dtype=bool)
+        for a, b in self.pairs:
+            if a in self.byte_of and b in self.byte_of:
+                self.joined[self.byte_of[a], self.byte_of[b]] = True
         # Normaliser and pre-tokenizer alone, without a second copy of the vocabulary.
         self.whole = Tokenizer.from_str(json.dumps(
             spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
-        plain = spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
+        plain = spec | {"normalizer": None, "post_processor": None, "added_tokens": [],
+                        "truncation": None, "padding": None, "pre_tokenizer": {
+                            "type": "Split", "pattern": {"String": _BREAK},
+                            "behavior": "Removed", "invert": False}}
         self.last = Tokenizer.from_str(json.dumps(plain))
         self.inner = Tokenizer.from_str(
             json.dumps(plain | {"model": model | {"end_of_word_suffix": None}}))
@@ -77,32 +90,45 @@ class Encoder:
         ) if self.special else None
         self.words = _word_pattern()
         self.other = re.compile(f"[{chr(FIRST_OTHER)}-{chr(0x10FFFF)}]")
-        self.known: dict[str, bytes] = {}
-        self.byte_char = _byte_chars()
-
-    def fragments(self, word: str) -> list[str]:
-        """A word in byte characters, cut at every pair that no token holds."""
-        pairs = self.pairs
-        cuts = [i for i, (a, b) in enumerate(zip(word, word[1:]), 1) if a + b not in pairs]
-        if not cuts:
-            return [word]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+        # Ids as int32 bytes, of words as such and of words in byte characters.
+        self.known: dict[bool, dict[str, bytes]] = {False: {}, True: {}}
+
+    def cuts(self, body: bytes, ends: np.ndarray) -> np.ndarray:
+        """Ends of the fragments of words, which end at ``ends``: wherever the bytes on both
+        sides stand side by side in no token."""
+        codes = np.frombuffer(body, np.uint8)
+        cut = np.ones(len(codes) + 1, dtype=bool)
+        cut[1:-1] = ~self.joined[codes[:-1], codes[1:]]
+        cut[ends] = True
+        return np.flatnonzero(cut[1:]) + 1
 
     def learn(self, words: list[str], mapped: bool) -> None:
-        """Remembers the ids of words as int32 bytes; each distinct fragment is encoded once."""
-        byte_words = words if mapped else [
-            w if w.isascii() and w.isprintable()
-            else "".join(map(self.byte_char.__getitem__, w.encode())) for w in words]
-        cut = [self.fragments(w) for w in byte_words]
-        inner = list({f for c in cut for f in c[:-1]})
-        last = list({c[-1] for c in cut})
-        inner_ids = dict(zip(inner, (e.ids for e in self.inner.encode_batch(inner))))
-        last_ids = dict(zip(last, (e.ids for e in self.last.encode_batch(last))))
-        for word, parts in zip(words, cut):
-            ids = array("i", last_ids[parts[-1]])
-            if len(parts) > 1:
-                ids = array("i", chain.from_iterable(inner_ids[p] for p in parts[:-1])) + ids
-            self.known[("\0" + word) if mapped else word] = ids.tobytes()
+        """Remembers the ids of words; each distinct fragment of them is encoded once."""
+        raw = [bytes(map(self.byte_of.__getitem__, w)) if mapped else w.encode() for w in words]
+        body, ends = b"".join(raw), np.cumsum([len(w) for w in raw])
+        text = codecs.charmap_decode(body, "strict", self.byte_char)[0]
+        cuts = self.cuts(body, ends)
+        bounds = [0, *cuts.tolist()]
+        parts = [text[a:b] for a, b in zip(bounds, bounds[1:])]
+        at = np.searchsorted(cuts, ends)
+        final = np.zeros(len(parts), dtype=bool)
+        final[at] = True
+        found = [b""] * len(parts)
+        for model, places in ((self.inner, ~final), (self.last, final)):
+            places = np.flatnonzero(places).tolist()
+            ids = _encoded(model, list({parts[i] for i in places}))
+            for i in places:
+                found[i] = ids[parts[i]]
+        firsts = [0, *(at + 1).tolist()]
+        known = self.known[mapped]
+        for word, a, b in zip(words, firsts, firsts[1:]):
+            known[word] = found[a] if b == a + 1 else b"".join(found[a:b])
+
+    def _make_room(self) -> None:
+        for known in self.known.values():
+            if len(known) > REMEMBERED:
+                for word in list(islice(known, len(known) // 2)):
+                    del known[word]
 
     def _split(self, text: str) -> tuple[list[str], bool]:
         """The words of a text without special tokens; whether they are byte characters."""
@@ -121,30 +147,22 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as int32 bytes."""
         sections = [self._sections(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for mapped in (False, True):
-            new = set()
-            for section in chain.from_iterable(sections):
-                if not isinstance(section, int) and section[1] == mapped:
-                    new.update(section[0])
-            if mapped:
-                new = [w for w in new if "\0" + w not in self.known]
-            else:
-                new = [w for w in new if w not in self.known]
+        self._make_room()
+        for mapped, known in self.known.items():
+            new = {word for section in chain.from_iterable(sections)
+                   if not isinstance(section, int) and section[1] == mapped
+                   for word in section[0]}
+            new = [w for w in new if w not in known]
             for first in range(0, len(new), LEARNED):
                 self.learn(new[first : first + LEARNED], mapped)
-        known = self.known.__getitem__
         found = []
         for parts in sections:
             ids = []
             for section in parts:
                 if isinstance(section, int):
                     ids.append(array("i", [section]).tobytes())
-                elif section[1]:
-                    ids += [known("\0" + word) for word in section[0]]
                 else:
-                    ids += map(known, section[0])
+                    ids += map(self.known[section[1]].__getitem__, section[0])
             found.append(b"".join(ids))
         return found
 
@@ -162,64 +180,99 @@ def _byte_chars() -> list[str]:
     return chars
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def _encoded(model, parts: list[str]) -> dict[str, bytes]:
+    """The ids of distinct fragments, in one call: the model takes each as a word of its own."""
+    if not parts:
+        return {}
+    whole = model.encode(_BREAK.join(parts), add_special_tokens=False)
+    ids, words = np.array(whole.ids, np.int32), np.array(whole.word_ids)
+    bounds = [0, *(np.flatnonzero(np.diff(words)) + 1).tolist(), len(ids)]
+    if len(bounds) != len(parts) + 1:
+        raise ValueError("the tokenizer has no token for some byte")
+    body = ids.tobytes()
+    return {p: body[4 * a : 4 * b] for p, a, b in zip(parts, bounds, bounds[1:])}
+
+
+class Codec:
+    """A tokenizer file that tasks encode and decode with; a process builds it once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        with open(path, encoding="utf-8") as file:
+            self.spec = spark.sparkContext.broadcast(file.read())
+        self.path = path
+
+    def encoder(self) -> Encoder:
+        return common.once(("encoder", self.path), lambda: Encoder(self.spec.value))
+
+    def names(self) -> pa.Array:
+        return common.once(("names", self.path), lambda: _names(json.loads(self.spec.value)))
+
+    def encoded(self, texts: list[bytes]) -> pa.ListArray:
+        found = self.encoder().encode([t.decode() for t in texts])
+        ends = (np.cumsum([0, *map(len, found)]) // 4).astype(np.int32)
+        return pa.ListArray.from_arrays(
+            pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+    def decoded(self, ids: pa.ListArray) -> pa.Array:
+        """The tokens' strings, special ones included, joined by one space (the vocabulary has
+        no decoder of its own)."""
+        strings = self.names().take(ids.flatten())
+        starts = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(ids).to_numpy())))
+        return pa.compute.binary_join(
+            pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), strings), " ")
+
+
+def _names(spec: dict) -> pa.Array:
+    names = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    strings = [""] * (max(names.values()) + 1)
+    for name, number in names.items():
+        strings[number] = name
+    return pa.array(strings, pa.string())
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """``docs`` without the text as struct ``row``, with ``ids`` (no special tokens added).
 
     The ids are those of the tokenizer file at ``path``, read once by the driver. Texts that
     spell a special token give its id, as in the library. Null and empty texts give no ids.
     Other columns travel inside the struct, so their names cannot clash. Repeated rows are
     encoded each; an empty table gives no rows. A text is encoded whole, in one task.
+    ``decoded`` adds the ``text`` that the ids decode to, in the same pass.
     """
-    with open(path, encoding="utf-8") as file:
-        spec = docs.sparkSession.sparkContext.broadcast(file.read())
+    codec = Codec(docs.sparkSession, path)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     frame = docs.select(common.as_bytes(text).alias("t"), F.struct(*rest).alias("row"))
     kind = frame.schema["row"].dataType
-    schema = pa.schema([("ids", pa.list_(pa.int32())), ("row", common.arrow_type(kind))])
+    schema = pa.schema([("ids", pa.list_(pa.int32())), ("row", common.arrow_type(kind)),
+                        *[("text", pa.string())] * decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec.value)
-
         def work(columns: list) -> dict:
             texts, rows = columns
-            found = encoder.encode([t.decode() for t in texts])
-            ends = (np.cumsum([0, *map(len, found)]) // 4).astype(np.int32)
-            flat = np.frombuffer(b"".join(found), np.int32)
-            return {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "row": rows}
+            ids = codec.encoded(texts)
+            return {"ids": ids, "row": rows, **({"text": codec.decoded(ids)} if decoded else {})}
 
         yield from common.by_chunk(work, ["t", "row"], schema)(batches)
 
-    return frame.mapInArrow(run, f"ids array<int>, row {kind.simpleString()}")
+    return frame.mapInArrow(
+        run, f"ids array<int>, row {kind.simpleString()}" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds the decoded ``text`` to ``ids`` and ``row``: the tokens' strings, special ones
-    included, joined by one space (the vocabulary has no decoder of its own)."""
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    names = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
-    strings = [""] * (max(names.values()) + 1)
-    for name, number in names.items():
-        strings[number] = name
-    shared = encoded.sparkSession.sparkContext.broadcast(strings)
+    """Adds the decoded ``text`` to ``ids`` and ``row``."""
+    codec = Codec(encoded.sparkSession, path)
     kind = encoded.schema["row"].dataType
     schema = pa.schema([("ids", pa.list_(pa.int32())), ("row", common.arrow_type(kind)),
                         ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name_of = shared.value.__getitem__
         for batch in batches:
             sizes = pa.compute.list_value_length(batch.column("ids")).to_pylist()
             for first, last in common.pieces([4 * n for n in sizes]):
                 part = batch.slice(first, last - first)
-                ids = part.column("ids")
-                flat, at = ids.flatten().to_pylist(), 0
-                texts = []
-                for n in sizes[first:last]:
-                    texts.append(" ".join(map(name_of, flat[at : at + n])))
-                    at += n
                 yield pa.RecordBatch.from_pydict(
-                    {"ids": ids, "row": part.column("row"), "text": texts}, schema=schema)
+                    {"ids": part.column("ids"), "row": part.column("row"),
+                     "text": codec.decoded(part.column("ids"))}, schema=schema)
 
     return encoded.mapInArrow(run, f"ids array<int>, row {kind.simpleString()}, text string")
 
@@ -232,7 +285,7 @@ def tokenizer_path() -> str:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id`` with the number of ids, and digests of the ids and of the decoded text."""
-    found = decode(encode(docs.select("doc_id", "text"), path), path)
+    found = encode(docs.select("doc_id", "text"), path, decoded=True)
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from logweir.llm import bpe
+from logweir.llm import bpe, common
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -45,11 +46,28 @@ def test_ids_and_text_equal_the_library(spark, library):
 
 def test_cuts_stand_where_no_token_spans(library):
     encoder = bpe.Encoder(open(bpe.tokenizer_path(), encoding="utf-8").read())
-    word = "qzxjkvthe"
-    parts = encoder.fragments(word)
-    assert "".join(parts) == word and len(parts) > 1
-    for a, b in zip(parts, parts[1:]):
-        assert a[-1] + b[0] not in encoder.pairs
+    words = ["qzxjkvthe", "the", "qqqq"]
+    body = "".join(words).encode()
+    ends = [9, 12, 16]
+    cuts = encoder.cuts(body, np.array(ends)).tolist()
+    assert set(ends) < set(cuts)
+    for i in range(1, len(body)):
+        apart = chr(body[i - 1]) + chr(body[i]) not in encoder.pairs
+        assert (i in cuts) == (apart or i in ends)
+
+
+def test_one_pass_gives_ids_and_text(spark, library, monkeypatch):
+    monkeypatch.setattr(common, "CHUNK_BYTES", 200)
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    monkeypatch.setattr(bpe, "LEARNED", 3)
+    texts = TEXTS + random_texts(80) + ["same words again"] * 5 + ["x" * 200_000 + "é" * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    found = bpe.encode(docs, bpe.tokenizer_path(), decoded=True).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        want = library.encode(texts[r.row.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids == want
+        assert r.text == library.decode(want, skip_special_tokens=False)
 
 
 def test_empty_table(spark):
