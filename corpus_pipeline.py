@@ -72,7 +72,7 @@ def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with a digest of what they decode to."""
     common.ship(spark)
     path = bpe.tokenizer_path()
-    found = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    found = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, decoded=True)
     return found.select(
         "row.*", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2("text", 256).alias("decoded_sha256"))
