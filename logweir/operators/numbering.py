@@ -52,6 +52,8 @@ def block_index(raw: DataFrame, numbered: bool = False) -> DataFrame:
         .withColumn("shift", shift)
         .withColumn("carry_no", F.max(with_head).over(before))
         .withColumn("carry_line", F.max(F.col("last_head_pos") + F.col("shift")).over(before))
+        # The byte at which the block's first line starts, counting from the log's start.
+        .withColumn("first_byte", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)))
     )
 
 

@@ -428,6 +428,30 @@ def statements() -> dict[str, str]:
           CAST(1 AS BIGINT) AS generation, arg_max(message, line_number) AS message, FALSE AS is_new
         FROM d GROUP BY file"""
     )
+    sql["tail_same_banner"] = on_documents(
+        """SELECT file, line_number + 1 AS line_number, CAST(1 AS BIGINT) AS generation, message,
+          FALSE AS is_new FROM d
+        UNION ALL SELECT 'documents-xx.log', line_number + 1, 1, 'DOCUMENT' || substr(message, 9),
+          FALSE FROM d WHERE file = 'documents-de.log'"""
+    )
+    sql["tail_touched"] = on_documents(
+        """SELECT file, line_number, CAST(1 AS BIGINT) AS times, CAST(1 AS BIGINT) AS generation
+        FROM d"""
+    )
+    sql["tail_returned"] = on_documents(
+        """SELECT file, line_number + 1 AS line_number, end_line + 1 AS end_line,
+          CAST(1 AS BIGINT) AS generation, message, line_number > cut AS is_new
+        FROM d JOIN looks USING (file)""",
+        looks,
+    )
+    sql["tail_from_backlog"] = on_documents(
+        """SELECT file, line_number, end_line, CAST(1 AS BIGINT) AS generation, message,
+          text AS extra_data, line_number > cut AS is_new
+        FROM d JOIN looks USING (file) WHERE end_line > cut
+          OR line_number = (SELECT max(x.line_number) FROM d x WHERE x.file = d.file
+            AND x.line_number <= cut)""",
+        looks,
+    )
     sql["dirty_entries"] = on_events(
         """SELECT file, line_number, CAST(end_line AS BIGINT) AS end_line,
           CAST(ts_local - to_minutes(CAST(zone AS INTEGER)) AS VARCHAR) AS ts,

@@ -559,6 +559,68 @@ def tail_renamed(spark: SparkSession, sf: str) -> DataFrame:
     return found.where(F.endswith("file", F.lit(".1")))
 
 
+def _bannered(lines: DataFrame) -> DataFrame:
+    """Logs whose first line is the same in all of them."""
+    files = lines.select("file").distinct()
+    banner = files.select("file", F.lit(0).cast("bigint").alias("line_number"),
+                          F.lit("== service started ==").alias("value"))
+    return banner.unionByName(lines.select(*KEY, "value"))
+
+
+def tail_same_banner(spark: SparkSession, sf: str) -> DataFrame:
+    """State after a log went and another with its first line and size came: read whole."""
+    base, _, every = _looks(spark, sf)
+    publish(_bannered(every), f"{base}/logs")
+    other = F.replace(F.col("value"), F.lit('": document '), F.lit('": DOCUMENT '))
+    new = every.where(F.col("file") == "documents-de.log").select(
+        F.lit("documents-xx.log").alias("file"), "line_number",
+        F.when(F.contains("value", F.lit('] request="')), other).otherwise(F.col("value")).alias("value"))
+
+    def change(logs: str) -> None:
+        take_away(logs, "documents-de.log")
+        publish(_bannered(new), logs)
+
+    return _changed(base, sf, spark, change)
+
+
+def tail_touched(spark: SparkSession, sf: str) -> DataFrame:
+    """How often entries were given out when all logs were written again as they were."""
+    base, _, every = _looks(spark, sf)
+    publish(every, f"{base}/logs")
+    places = [f"{base}/{n}" for n in ("logs", "out", "checkpoint")]
+    catch_up(spark, *places)
+    publish(every, f"{base}/logs")
+    given = catch_up(spark, *places).given_out()
+    return given.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("times"), F.max("generation").cast("bigint").alias("generation"))
+
+
+def tail_returned(spark: SparkSession, sf: str) -> DataFrame:
+    """State after one of several logs with one first line was gone for a look, and grew."""
+    base, first, every = _looks(spark, sf)
+    publish(_bannered(first), f"{base}/logs")
+    places = [f"{base}/{n}" for n in ("logs", "out", "checkpoint")]
+    catch_up(spark, *places)
+    take_away(places[0], "documents-de.log")
+    catch_up(spark, *places)
+    publish(_bannered(every), places[0])
+    state = catch_up(spark, *places)
+    return state.current_entries().select(
+        *KEY, "end_line", *long("generation"), "message", "is_new")
+
+
+def tail_from_backlog(spark: SparkSession, sf: str) -> DataFrame:
+    """What a tail gives out that goes on behind a batch load of half of every log."""
+    base, first, every = _looks(spark, sf)
+    publish(first, f"{base}/logs")
+    log = open_logs(spark, f"{base}/logs")
+    log.index.count()
+    publish(every, f"{base}/logs")
+    state = catch_up(spark, f"{base}/logs", f"{base}/out", f"{base}/checkpoint", start=log)
+    return state.given_out().select(
+        *KEY, "end_line", *long("generation"), "message", "extra_data", "is_new")
+
+
 def tail_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """A filter on the stream; the events arrive at once, in many chunks."""
     base = new_folder(spark, "tail")
@@ -591,7 +653,8 @@ def registered() -> dict[str, Query]:
         last_timestamps, recency, request_summary, template_summary, template_summary_events,
         level_summary, new_entries, delete_one_entry, delete_range, delete_by_filter,
         entries_after_delete, truncate_log, export_details, tail_growing, tail_rotated,
-        tail_filtered, tail_missing, tail_same_size, tail_renamed,
+        tail_filtered, tail_missing, tail_same_size, tail_renamed, tail_same_banner,
+        tail_touched, tail_returned, tail_from_backlog,
     ]
     found = {q.__name__: q for q in plain}
     found |= {name: filter_query(where) for name, where in FILTERS.items()}

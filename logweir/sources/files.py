@@ -159,7 +159,7 @@ def list_parts(spark: SparkSession, logs: LogPath) -> DataFrame:
     return spark.createDataFrame(rows, LISTING_SCHEMA)
 
 
-def _spread(rows: DataFrame, key: str) -> DataFrame:
+def spread(rows: DataFrame, key: str) -> DataFrame:
     """Small rows that each stand for reading a file: over all cores, not one partition."""
     width = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(width, key)
@@ -249,6 +249,6 @@ def tail_texts(parts: DataFrame, in_parts: bool, tail_bytes: int = fixed.TAIL_BY
                 names=["file", "part_no", "part", "text", "is_whole"],
             )
 
-    return _spread(ends, "part").mapInArrow(
+    return spread(ends, "part").mapInArrow(
         read, "file string, part_no bigint, part string, text string, is_whole boolean"
     )

@@ -76,6 +76,17 @@ def list_children(spark: SparkSession, path: str, below: str | None = None) -> l
     return children
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole: written beside its place and renamed."""
+    files, target = _hadoop(spark, path)
+    beside = target.suffix(".new")
+    out = files.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(target, False)
+    files.rename(beside, target)
+
+
 def create_empty(spark: SparkSession, path: str) -> None:
     files, target = _hadoop(spark, path)
     files.create(target, True).close()
@@ -125,3 +136,9 @@ def read_range(uri: str, start: int, length: int) -> bytes:
     with files.open_input_file(path) as source:
         source.seek(start)
         return source.read(length)
+
+
+def read_text(uri: str) -> str:
+    files, path = locate(uri)
+    with files.open_input_file(path) as source:
+        return source.read().decode()
