@@ -84,6 +84,15 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(one == other, F.lit(1.0)).when(fewest == 0, F.lit(0.0)).otherwise(both / fewest)
 
 
+def _packed(one: Column) -> Column:
+    """A sketch as bytes, eight a hash, for the way through a shuffle."""
+    return F.unhex(F.array_join(one, ""))
+
+
+def _unpacked(packed: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.hex(packed)), F.lit(f"[0-9a-f]{{{DIGITS}}}"), F.lit(0))
+
+
 def _order_key(key: Column, body: Column) -> Column:
     """A text that sorts as the ids do, null first, and rows of one id by their text's digest."""
     digits = F.lpad(F.hex(key.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
@@ -130,19 +139,22 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
                            F.struct("body", F.array().cast("array<string>").alias("sketch")).alias("next"))
     dealt = _with_sketch(
         placed.select("row", "body", "place", _range_of("place", starts).alias("range")),
-        "body", "sketch")
+        "body", "sketch").withColumn("sketch", _packed(F.col("sketch")))
     again = placed.join(
         F.broadcast(docs.sparkSession.createDataFrame(
             [(s, (n - 1) % len(starts)) for n, s in enumerate(starts)], "place string, range int")),
         "place").groupBy("range").agg(F.any_value("body").alias("body"))
     firsts = _with_sketch(again.select(
         F.lit(None).cast(dealt.schema["row"].dataType).alias("row"), "body",
-        F.lit("g").alias("place"), "range"), "body", "sketch")
+        F.lit("g").alias("place"), "range"), "body", "sketch").withColumn(
+        "sketch", _packed(F.col("sketch")))
     following = F.lead(F.struct("body", "sketch")).over(
         Window.partitionBy("range").orderBy("place"))
-    return dealt.unionByName(firsts).select(
-        "row", "body", "sketch", "place", following.alias("next")).where(
-        F.col("place") != "g").drop("place")
+    pairs = dealt.unionByName(firsts).select(
+        "row", "body", "sketch", "place", following.alias("next")).where(F.col("place") != "g")
+    return pairs.select(
+        "row", "body", _unpacked(F.col("sketch")).alias("sketch"),
+        F.struct("next.body", _unpacked(F.col("next.sketch")).alias("sketch")).alias("next"))
 
 
 def edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
