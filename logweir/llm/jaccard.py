@@ -388,13 +388,16 @@ def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     found = jaccard_join(docs, key, text).groupBy(F.col("doc_id").alias("judged_id")).agg(
         F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("rows_of_id"))
-    verdicts = common.saved(found.where("judged_id IS NOT NULL"), "jaccard-verdicts")
+    # Only ids that go, or of which one row may go, are joined: the fewer there are, the less
+    # has to be shuffled, and where Spark finds their table small, no text is.
+    verdicts = common.saved(
+        found.where("class_id <> judged_id OR rows_of_id > 1"), "jaccard-verdicts")
     whole = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(key).cast("long").alias("id_of_row"))
     joined = whole.join(verdicts, F.col("id_of_row") == F.col("judged_id"), "left")
     stays = joined.where("judged_id IS NULL OR class_id = judged_id")
-    single = stays.where("judged_id IS NULL OR rows_of_id = 1").select("row")
+    single = stays.where("judged_id IS NULL").select("row")
     several = stays.where("rows_of_id > 1").withColumn("words", F.xxhash64(F.col("row")[text]))
     return single.unionByName(
         several.dropDuplicates(["id_of_row", "words"]).select("row")).select("row.*")
