@@ -27,8 +27,8 @@ class LogSet:
     ``numbered`` says that positions are line numbers already; ``whole`` that no log is
     cut into blocks, so that nothing has to be carried from block to block.
 
-    ``source`` is where the logs are; ``rewritten`` where those are that ``source`` leaves out,
-    because a delete has written them anew.
+    ``source`` is where the logs are; ``rewritten`` are the places of those that ``source`` leaves
+    out, because deletes have written them anew. A log is in one place only.
 
     The block index is built by one scan on first use and kept as a small table in the
     shared folder, so later jobs read the text once and survive a lost executor.
@@ -41,7 +41,7 @@ class LogSet:
         numbered: bool = False,
         whole: bool = False,
         source: files.LogPath | None = None,
-        rewritten: files.LogPath | None = None,
+        rewritten: tuple[files.LogPath, ...] = (),
     ) -> None:
         self.spark = configure(spark)
         self.raw = raw
@@ -120,7 +120,7 @@ class LogSet:
 
     @property
     def sources(self) -> list[files.LogPath]:
-        return [s for s in (self.source, self.rewritten) if s is not None]
+        return [self.source, *self.rewritten] if self.source is not None else []
 
     def catalog(self, now: dt.datetime | Column | None = None, exact: bool = False) -> DataFrame:
         """Logs of the folder with size, last header time and recency.
@@ -164,12 +164,9 @@ class LogSet:
             raw = self.raw.where(F.col("file").isin(*names))
             return LogSet(self.spark, raw, self.numbered, self.whole)
         chosen = frozenset(names)
-        parts = []
-        if self.source.name is None or self.source.name in chosen:
-            parts.append((self.source, chosen - self.source.without))
-        if self.rewritten is not None:
-            parts.append((self.rewritten, chosen & self.rewritten.only))
-        raws = [files.scan_lines(self.spark, replace(s, only=c)) for s, c in parts if c]
+        parts = [(p, frozenset(n for n in chosen if p.takes(n) and p.name in (None, n)))
+                 for p in self.sources]
+        raws = [files.scan_lines(self.spark, replace(p, only=c)) for p, c in parts if c]
         return LogSet(self.spark, reduce(DataFrame.unionByName, raws))
 
     def without(self, doomed: Column, drop_orphans: Column | None = None) -> DataFrame:
@@ -185,28 +182,28 @@ class LogSet:
 
     def rewrite(self, doomed: Column, folder: str, drop_orphans: Column | None = None) -> LogSet:
         """Write the logs that lose lines to a new folder, and open them there together with
-        all other logs where they are (S7, D6)."""
+        all other logs where they are (S7, D6). The result takes further deletes; nothing that
+        an earlier state reads is changed."""
         if self.source is None:
             raise ValueError("only logs that come from files are rewritten")
         folder = files.qualified(self.spark, folder)
         names = frozenset(delete.rewrite(self, doomed, folder, drop_orphans))
         if not names:
             return self
-        if self.rewritten is not None:
-            raise ValueError("put the rewritten logs in place before the next delete")
-        source = replace(self.source, without=self.source.without | names)
-        return files_of(self.spark, source, files.LogPath(folder, None, True, only=names))
+        places = [replace(p, without=p.without | names) for p in self.sources]
+        rewritten = [p for p in places[1:] if p.only - p.without]
+        new = files.LogPath(folder, None, True, only=names)
+        return files_of(self.spark, places[0], (*rewritten, new))
 
 
 def files_of(
-    spark: SparkSession, source: files.LogPath, rewritten: files.LogPath | None = None
+    spark: SparkSession, source: files.LogPath, rewritten: tuple[files.LogPath, ...] = ()
 ) -> LogSet:
-    """The logs of a place, and of another one for those that were rewritten."""
+    """The logs of a place, and of others for those that were rewritten."""
     raws = []
-    for place in (source, rewritten):
-        if place is not None:
-            with contextlib.suppress(files.NoLogsFound):
-                raws.append(files.scan_lines(spark, place))
+    for place in (source, *rewritten):
+        with contextlib.suppress(files.NoLogsFound):
+            raws.append(files.scan_lines(spark, place))
     if not raws:
         raise files.NoLogsFound(f"no log files in {source.folder}")
     raw = reduce(DataFrame.unionByName, raws)

@@ -383,6 +383,13 @@ def statements() -> dict[str, str]:
             FROM d WHERE file = 'documents-de.log' AND severity <= 3) WHERE p BETWEEN 2 AND 4))"""
     )
     sql["delete_by_filter"] = on_documents("SELECT file, line_number, value FROM kept", KEPT_LINES)
+    sql["delete_twice"] = on_documents(
+        """SELECT file, row_number() OVER (PARTITION BY file ORDER BY line_number) AS line_number,
+          value, lines_before
+        FROM dl JOIN (SELECT file, count(*) AS lines_before FROM dl GROUP BY file) USING (file)
+        WHERE severity > 3 AND NOT (file = 'documents-en.log' AND head_line = (
+          SELECT min(head_line) FROM dl WHERE file = 'documents-en.log' AND severity > 3))"""
+    )
     sql["entries_after_delete"] = on_events(
         """SELECT file, row_number() OVER (PARTITION BY file ORDER BY line_number) AS line_number,
           level, message FROM e WHERE severity <= 3"""

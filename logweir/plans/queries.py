@@ -20,6 +20,7 @@ from logweir.plans.render import publish, rename_all, rendered, take_away, text_
 from logweir.plans.session import configure, new_folder
 from logweir.plans.store import store_entries, stored_entries
 from logweir.sources.sinks import export_text
+from logweir.plans.versions import LogVersions
 from logweir.streaming.tailing import catch_up
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,6 +474,17 @@ def delete_by_filter(spark: SparkSession, sf: str) -> DataFrame:
     return after.lines().select(*KEY, "value")
 
 
+def delete_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Three deletes, each from what the one before left; the first version is still there."""
+    log = documents(spark, sf)
+    versions = LogVersions(spark, log.source.folder, new_folder(spark, "versions"))
+    versions.delete(delete.by_filter(LogFilter(min_level="CRITICAL")))
+    versions.delete(delete.by_filter(ERRORS))
+    last = versions.delete(delete.one_entry("documents-en.log", 1))
+    before = versions.open(0).row_counts().select("file", F.col("lines_read").alias("lines_before"))
+    return last.lines().select(*KEY, "value").join(before, "file")
+
+
 def entries_after_delete(spark: SparkSession, sf: str) -> DataFrame:
     new = new_folder(spark, "only-errors")
     after = events(spark, sf).rewrite(F.col("severity") > 3, new)
@@ -652,7 +664,7 @@ def registered() -> dict[str, Query]:
         head, page, positions, marked_slice, neighbours, query_summary, delete_preview,
         last_timestamps, recency, request_summary, template_summary, template_summary_events,
         level_summary, new_entries, delete_one_entry, delete_range, delete_by_filter,
-        entries_after_delete, truncate_log, export_details, tail_growing, tail_rotated,
+        delete_twice, entries_after_delete, truncate_log, export_details, tail_growing, tail_rotated,
         tail_filtered, tail_missing, tail_same_size, tail_renamed, tail_same_banner,
         tail_touched, tail_returned, tail_from_backlog,
     ]

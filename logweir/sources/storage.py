@@ -7,6 +7,7 @@ Tasks read ranges of bytes by Arrow's file systems; ``readable`` says which sche
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyarrow import fs as pafs
@@ -87,6 +88,19 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     files.rename(beside, target)
 
 
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole under a name that must be free."""
+    files, target = _hadoop(spark, path)
+    if files.exists(target):
+        raise FileExistsError(path)
+    beside = target.suffix(f".{uuid.uuid4().hex}.new")
+    out = files.create(beside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not files.rename(beside, target):
+        raise FileExistsError(path)
+
+
 def create_empty(spark: SparkSession, path: str) -> None:
     files, target = _hadoop(spark, path)
     files.create(target, True).close()

@@ -265,7 +265,7 @@ class Tail:
         from the split with the last header to the end. Only these ranges are read, one task a
         log. A last line without its end is left to the tail.
         """
-        if log.source is None or log.source.in_parts or log.rewritten is not None:
+        if log.source is None or log.source.in_parts or log.rewritten:
             raise ValueError("a tail goes on behind plain logs that were opened as files")
         in_log = Window.partitionBy("file")
         blocks = F.max("block_no").over(in_log)

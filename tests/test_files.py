@@ -8,6 +8,7 @@ from logweir.operators import delete, slices, summaries
 from logweir.plans.session import shared_folder
 from logweir.sources import storage
 from logweir.sources.files import MixedLayouts, NoLogsFound
+from logweir.plans.versions import LogVersions
 from tests.logs import header, numbered, put, rows
 
 NOW = dt.datetime(2026, 4, 3, 9, 0)
@@ -95,8 +96,41 @@ def test_deletes_touch_only_their_logs(spark, tmp_path):
     assert sorted(rows(after.row_counts(), "file", "lines_read")) == [("a.log", 4), ("b.log", 3), ("c.log", 4)]
     assert set(catalog(after)) == {"a.log", "b.log", "c.log"}
     assert log.rewrite(F.lit(False), str(tmp_path / "unused")) is log
-    with pytest.raises(ValueError):
-        after.rewrite(doomed, str(tmp_path / "more"))
+    again = after.rewrite(doomed | delete.one_entry("a.log", 1), str(tmp_path / "more"))
+    assert sorted(rows(again.row_counts(), "file", "lines_read")) == [("a.log", 3), ("b.log", 2), ("c.log", 4)]
+    assert [p.folder.rpartition("/")[2] for p in again.sources] == ["in", "more"]
+    assert sorted(rows(after.row_counts(), "file", "lines_read")) == [("a.log", 4), ("b.log", 3), ("c.log", 4)]
+    assert set(catalog(again)) == {"a.log", "b.log", "c.log"}
+
+
+def test_deletes_follow_each_other(spark, tmp_path):
+    """Ten deletes in a row; whoever reads a version in between goes on seeing just that one."""
+    for name in ("a.log", "b.log", "c.log"):
+        put(tmp_path / "in", name, numbered(12))
+    versions = LogVersions(spark, str(tmp_path / "in"), str(tmp_path / "home"))
+    held = {n: [f"Entry {i}" for i in range(1, 13)] for n in ("a.log", "b.log")}
+    states = []
+    for step in range(10):
+        name = "ab"[step % 2] + ".log"
+        state = versions.open()
+        states.append((step, state, {n: list(v) for n, v in held.items()}))
+        versions.delete(delete.one_entry(name, 1 + step % 3))
+        del held[name][step % 3]
+    assert versions.numbers() == list(range(11))
+    for step, state, want in [*states[::4], (10, versions.open(), held)]:
+        for log in (state, versions.open(step)):
+            got = rows(log.headers(), "file", "line_number", "message")
+            assert [m for f, _, m in got if f == "c.log"] == [f"Entry {i}" for i in range(1, 13)]
+            for name, messages in want.items():
+                assert [(n, m) for f, n, m in got if f == name] == list(enumerate(messages, 1))
+    # An unused delete makes no version; a number that is taken is refused.
+    versions.delete(F.lit(False))
+    with pytest.raises(FileExistsError):
+        versions._publish(10, versions.places(10))
+    versions.forget(keep=1)
+    assert versions.numbers() == [10] and len(list((tmp_path / "home" / "deletes").iterdir())) == 2
+    again = LogVersions(spark, "unused", str(tmp_path / "home")).open()
+    assert again.headers().count() == 12 + 7 + 7
 
 
 def test_paths(spark, tmp_path, monkeypatch):
