@@ -10,11 +10,17 @@ def header(level="INFO", message="msg", request="r1", component="Vendor.Ext", st
 
 
 def numbered(n, level="INFO", start=1):
-    """Header lines ``Entry i`` with request ``r<i>`` at minute ``i % 60``."""
-    return "".join(
-        header(level, f"Entry {i}", f"r{i}", stamp=f"Thu, 02 Apr 2026 12:{i % 60:02d}:00 +0200") + "\n"
-        for i in range(start, start + n)
-    )
+    """Header lines ``parcel i weighs .. g`` from van ``i``, three seconds apart."""
+    lines = []
+    for i in range(start, start + n):
+        minute, second = divmod(3 * i, 60)
+        stamp = f"Tue, 17 Nov 2026 {6 + minute // 60 % 12:02d}:{minute % 60:02d}:{second:02d} +0100"
+        lines.append(header(level, parcel(i), f"van-{i}", "Depot.Scale", stamp) + "\n")
+    return "".join(lines)
+
+
+def parcel(i):
+    return f"parcel {i} weighs {137 * i % 900 + 100} g"
 
 
 def put(folder, name, content):

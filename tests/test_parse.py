@@ -1,7 +1,7 @@
 import pytest
 
 from logweir import logs_of_lines, logs_of_text, open_logs
-from tests.logs import STAMP, header, numbered, put, rows
+from tests.logs import STAMP, header, numbered, parcel, put, rows
 
 
 def parse(spark, content):
@@ -128,7 +128,7 @@ def mixed_log(entries):
     """Entries with 0 to 39 continuation lines, blank lines and an orphan in front."""
     out = ["orphan"]
     for i in range(entries):
-        out.append(header(LEVELS[i % 8], f"Entry {i}", f"r{i % 7}"))
+        out.append(header(LEVELS[i % 8], parcel(i), f"r{i % 7}"))
         out += [f"  line {j} of {i}" if j % 5 else "" for j in range((i * 13) % 40)]
     return "\n".join(out) + "\n"
 
@@ -160,7 +160,7 @@ def test_entries_equal_a_plain_python_reading(spark, tmp_path):
     put(tmp_path, "a.log", text)
     expected, open_entry = [], None
     for line in text.split("\n")[:-1]:
-        if " [" in line and line.endswith(tuple(f'Entry {i}' for i in range(60))):
+        if " [" in line and line.endswith(tuple(parcel(i) for i in range(60))):
             open_entry = (line.rsplit(": ", 1)[1], [])
             expected.append(open_entry)
         elif open_entry:

@@ -8,7 +8,7 @@ from logweir.sources.storage import is_log
 from logweir.sources.tail import ByteRange, TailReader, read_lines
 from logweir.streaming import tailing
 from logweir.streaming.tailing import catch_up, follow
-from tests.logs import header, numbered, put, rows
+from tests.logs import header, numbered, parcel, put, rows
 
 NAMES = ["line_number", "generation", "is_new", "is_open"]
 
@@ -39,7 +39,7 @@ def test_growth_marks_new_entries(tail):
     ]
     assert rows(state.current_entries().where("file = 'b.log'"), *NAMES) == [(1, 1, False, True)]
     assert look().latest_files().count() == 2
-    warnings = LogFilter(search_text="entry 5")
+    warnings = LogFilter(search_text="PARCEL 5")
     assert rows(state.current_entries(warnings), "line_number") == [(5,)]
 
 
@@ -76,9 +76,9 @@ def test_rewrite_of_the_same_size(tail):
     logs, look = tail
     put(logs, "a.log", numbered(3))
     look()
-    put(logs, "a.log", numbered(3).replace("Entry 3", "Entry 9"))
+    put(logs, "a.log", numbered(3).replace(parcel(3), parcel(9)))
     assert rows(look().current_entries(), "generation", "message") == [
-        (2, "Entry 1"), (2, "Entry 2"), (2, "Entry 9"),
+        (2, parcel(1)), (2, parcel(2)), (2, parcel(9)),
     ]
 
 
@@ -223,8 +223,8 @@ def test_tail_behind_a_batch_load(spark, tmp_path):
         places = [str(tmp_path / n) for n in ("logs", "out", "checkpoint")]
         state = catch_up(spark, *places, start=log)
         got = rows(state.given_out(), "file", "line_number", "message", "extra_data", "is_new")
-        assert got == [("a.log", 41, "Entry 40", "more", False),
-                       ("a.log", 43, "unfinished", None, True), ("a.log", 44, "Entry 1", None, True)]
+        assert got == [("a.log", 41, parcel(40), "more", False),
+                       ("a.log", 43, "unfinished", None, True), ("a.log", 44, parcel(1), None, True)]
         put(tmp_path / "logs", "b.log", "no header\n" * 30 + numbered(1))
         put(tmp_path / "logs", "c.log", numbered(2) + "late\n")
         state = catch_up(spark, *places, start=log)
