@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -64,13 +65,17 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
 def frequent_words(pages: DataFrame, html: str = "html") -> dict[str, int]:
     """The MODEL_WORDS most frequent words with their counts.
 
-    A quantile of the counts leaves about as many rows before they are ordered, so that a task
-    does not send its own MODEL_WORDS to the driver.
+    How many words there are of each count tells exactly from which count on a word can belong to
+    the model. Few counts are large, so that table is small, and only the words from there
+    on are ordered.
     """
     counts = common.saved(word_counts(pages, html), "url-words")
-    total = counts.count()
-    share = max(1 - MODEL_WORDS / max(total, 1), 0.0)
-    least = counts.agg(F.percentile_approx("n", share, 10_000)).first()[0] or 0
+    of_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    above = Window.orderBy(F.desc("n"))
+    # The most counts that can matter: each has a word at least.
+    highest = of_count.orderBy(F.desc("n")).limit(MODEL_WORDS)
+    least = highest.withColumn("upto", F.sum("words").over(above)).where(
+        F.col("upto") - F.col("words") < MODEL_WORDS).agg(F.min("n")).first()[0] or 0
     top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(MODEL_WORDS)
     return {r["word"]: r["n"] for r in top.collect()}
 
