@@ -1,7 +1,9 @@
 """Language, urls, pages and neighbours."""
 
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -117,42 +119,128 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>"
 <aside>More</aside><footer>&copy; me</footer></body></html>"""
 
 
-def test_main_text():
+def extracted(spark, pages, hosts=None):
+    """Main texts through Spark; pages stand on one host unless hosts are given."""
+    hosts = hosts or ["h"] * len(pages)
+    frame = spark.createDataFrame(
+        [(i, f"http://{h}/{i}", p) for i, (p, h) in enumerate(zip(pages, hosts))],
+        "page_id bigint, url string, html string")
+    return [r.text for r in html.main_text(frame).orderBy("page_id").collect()]
+
+
+def article(page):
+    return "\n".join(text for text, mark in html.blocks(page) if mark == html.MARKED)
+
+
+def test_main_text(spark):
     want = "Head & line\nOne two three\nFour <five> & six\nx\ny"
-    assert html.main_texts([PAGE]) == [want]
-    assert html.main_texts([PAGE[: PAGE.index("<aside>")]]) == [want]
-    assert html.main_texts(["", "<p>", "plain <b>text</b>"]) == ["", "", "plain text"]
-
-
-def test_shared_runs_of_unmarked_pages_go():
-    menu = "home news sports weather contact imprint search login about"
-    pages = [f"<div>{menu}</div><div>story {i} " + " ".join(f"u{i}x{k}" for k in range(20)) + "</div>"
-             for i in range(4)]
-    texts = html.main_texts(pages)
-    assert all(menu not in t and f"story {i}" in t for i, t in enumerate(texts))
-    # A copy under another address is no evidence.
-    assert html.main_texts([pages[0], pages[0]])[0].count("\n") == 1
-    # What a page marks as its article stays, though others hold it too.
-    marked = [p.replace("<div>story", "<div>tail</div><article><div>story") for p in pages]
-    same = [m.replace(f"u{i}x", "ux").replace(f"story {i}", "story") + f"<p>{i}</p>"
-            for i, m in enumerate(marked)]
-    assert all(t.startswith("story ux0") for t in html.main_texts(same))
-
-
-def test_shared_runs_against_brute_force():
+    cut = PAGE[: PAGE.index("<aside>")]
+    pages = [PAGE, cut, "", "<p>", "plain <b>text</b>"]
+    assert extracted(spark, pages) == [want, want, "", "", "plain text"]
+
+
+def test_classes_that_do_not_empty_an_article():
+    for opening in ('<article class="post has-sidebar">', '<article class="entry no-comments">',
+                    '<main class="content no-comments">', '<div class="widget"><article>',
+                    '<div id="page-with-nav"><article>', '<article id="related">'):
+        assert article(f"<body>{opening}<p>One</p></body>") == "One"
+    inside = "<article><h2 id='related-work'>Two</h2><p class='notice'>Three</p>{}</article>"
+    for chrome in ('<div class="cookie-banner">x</div>', '<div class="site comments-area">x</div>',
+                   '<div class="comments"><article>x</article></div>', "<aside>x</aside>",
+                   '<article class="comment">x</article>', '<section id="newsletter">x</section>'):
+        assert article(inside.format(chrome)) == "Two\nThree"
+    assert article("<div role='navigation'><article>x</article></div>") == ""
+
+
+def test_end_tags_without_a_start_are_cheap():
+    started = time.perf_counter()
+    assert html.blocks("<i><b></u>" * 100_000 + "text") == [("text", html.OPEN)]
+    assert html.blocks("</div>" * 100_000 + "text") == [("text", html.OPEN)]
+    assert time.perf_counter() - started < 3
+
+
+MENU = "home news sports weather contact imprint search login about"
+
+
+def own_words(i, count=30):
+    return " ".join(f"u{i}x{k}" for k in range(count))
+
+
+def test_shared_runs_of_unmarked_pages_go(spark):
+    pages = [f"<div>{MENU}</div><div>story {own_words(i)}</div>" for i in range(4)]
+    # Half menu, half own words in one block: only the menu goes.
+    pages.append(f"<div>{MENU} but {own_words(9, 5)}</div><div>{own_words(10)}</div>")
+    texts = extracted(spark, pages)
+    assert texts[:4] == [f"story {own_words(i)}" for i in range(4)]
+    assert texts[4] == f"but {own_words(9, 5)}\n{own_words(10)}"
+    # Other hosts are no evidence, nor are equal pages and near copies.
+    assert extracted(spark, pages[:2], ["a", "b"])[0].startswith(MENU)
+    assert extracted(spark, [pages[0]] * 2)[0].startswith(MENU)
+    long = [f"<p>{own_words(7, 100)}</p><p>{word} {own_words(8, 100)}</p>" for word in "ab"]
+    assert extracted(spark, long) == [
+        f"{own_words(7, 100)}\n{word} {own_words(8, 100)}" for word in "ab"]
+
+
+def test_shared_runs_of_marked_pages_stay(spark):
+    page = f"<div>{MENU}</div><article>{own_words(1)}</article><p>%d</p>"
+    pages = [page % 1, page % 2, f"<div>{MENU}</div><div>{own_words(2)}</div>",
+             f"<article>{own_words(3)}</article><div>{MENU}</div>"]
+    assert extracted(spark, pages) == [own_words(1), own_words(1), own_words(2), own_words(3)]
+
+
+def test_two_pages_of_a_large_host_share_a_run(spark, monkeypatch):
+    """The pages lie in different pieces, and the answer is that of one piece."""
+    pages = [f"<p>{own_words(i, 60)}</p>" for i in range(200)]
+    pages[3] += f"<p>{MENU}</p>"
+    pages[190] += f"<p>{MENU}</p>"
+    want = [own_words(i, 60) for i in range(200)]
+    assert extracted(spark, pages) == want
+    monkeypatch.setattr(html, "PIECE_BYTES", 500)
+    assert extracted(spark, pages) == want
+
+
+def test_sorted_runs_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(30):
         pages = np.sort(rng.integers(0, 4, 120))
         tokens = rng.integers(0, 3, 120)
-        seen = {}
+        want = {}
         for i in range(113):
             if pages[i] == pages[i + 7]:
-                seen.setdefault(tuple(tokens[i : i + 8]), set()).add(pages[i])
-        want = np.zeros(120, bool)
-        for i in range(113):
-            if pages[i] == pages[i + 7] and len(seen[tuple(tokens[i : i + 8])]) > 1:
-                want[i : i + 8] = True
-        assert (html.shared_runs(tokens, pages) == want).all()
+                want.setdefault(tuple(tokens[i : i + 8].tolist()), set()).add(i)
+        at, new = html.sorted_runs(tokens, pages)
+        got = {tuple(tokens[g[0] : g[0] + 8].tolist()): set(g.tolist())
+               for g in np.split(at, new[1:]) if len(g)}
+        assert got == want
+
+
+def test_pages_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    words = [[f"w{x}" for x in rng.integers(0, 3, 60)] + own_words(i, 60).split()
+             for i in range(12)]
+    holders = {}
+    for i, w in enumerate(words):
+        for k in range(len(w) - 7):
+            holders.setdefault(tuple(w[k : k + 8]), set()).add(i)
+    want = []
+    for w in words:
+        gone = {k + j for k in range(len(w) - 7) if len(holders[tuple(w[k : k + 8])]) > 1
+                for j in range(8)}
+        want.append(" ".join(x for k, x in enumerate(w) if k not in gone))
+    assert any(len(w.split()) < 120 for w in want)
+    assert extracted(spark, [f"<p>{' '.join(w)}</p>" for w in words]) == want
+
+
+def test_frequent_words_are_cut_exactly(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MODEL_WORDS", 40)
+    rng = np.random.default_rng(3)
+    names = ["".join(rng.choice(list("abcdef"), 3)) for _ in range(3000)]
+    texts = [" ".join(names[i : i + 50]) for i in range(0, 3000, 50)]
+    pages = spark.createDataFrame([(t,) for t in texts], "html string")
+    counts = Counter(names)
+    want = dict(sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:40])
+    assert urls.frequent_words(pages) == want
+    assert urls.frequent_words(pages.limit(0)) == {}
 
 
 def test_pages_table(spark):
