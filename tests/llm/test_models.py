@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from logweir.llm import html, language, neighbours, urls
 
 SF = "/root/testdata/sf0.01"
@@ -112,6 +113,89 @@ def test_bayes_learns_from_the_rules(spark):
     assert got[200] == "allow" and got[201] == "block"
 
 
+def invented(rng):
+    """Makes texts of some languages, each of syllables of its own."""
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    syllables = [["".join(rng.choice(letters, 2)) for _ in range(10)] for _ in range(20)]
+
+    def text(k, words):
+        return " ".join("".join(rng.choice(syllables[k], 3)) for _ in range(words))
+
+    return text
+
+
+@pytest.mark.parametrize("count", [2, 4, 20])
+def test_rejection_does_not_move_with_the_languages(spark, count):
+    """Clean texts stay, however few their language has; a strange script goes."""
+    rng = np.random.default_rng(count)
+    text = invented(rng)
+    rows = [(text(k, int(rng.integers(1, 40))), f"l{k:02}")
+            for k in range(count) for _ in range(150 if k == 0 else 30)]
+    rows += [(text(k, 1), f"l{k:02}") for k in range(count)]
+    rows += [("\u0416\u0443\u043a " * n, None) for n in (1, 5, 200)]
+    docs = spark.createDataFrame(
+        [(i, t, l) for i, (t, l) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, docs, SF).collect()
+    assert {r.doc_id for r in kept} == set(range(len(rows) - 3))
+    assert sum(r.lang == rows[r.doc_id][1] for r in kept) >= 0.98 * len(kept)
+
+
+def test_weights_are_the_unfolded_landmarks(spark):
+    """The folded model scores as kernels with all landmarks do, on exact n-gram sets."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sample = language.labelled_sample(docs.select("doc_id", "text", "lang")).collect()
+    sample = sorted((r for r in sample if any(map(str.isalpha, r.text))),
+                    key=lambda r: (r.lang, r.place))
+
+    def grams(text):
+        low = text.lower()
+        return {low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)}
+
+    sets = [grams(r.text) for r in sample]
+    marks = [s for s, r in zip(sets, sample) if r.mark]
+
+    def kernels(a):
+        return np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in marks] for x in a])
+
+    names, factors, base = language.regression(
+        [r.lang for r in sample], kernels(sets), kernels(marks))
+    texts = {r.doc_id: r.text for r in docs.where("doc_id % 20 = 0").collect() if r.text}
+    every = set().union(*marks)
+    checked = 0
+    for r in language.identify(docs).select("row.doc_id", "lang_pred", "score", "known").collect():
+        if r.doc_id in texts and any(map(str.isalpha, texts[r.doc_id])):
+            own = grams(texts[r.doc_id])
+            values = (kernels([own]) @ factors + base)[0]
+            assert r.score == pytest.approx(min(max((values.max() + 1) / 2, 0), 1), abs=1e-3)
+            assert values[names.index(r.lang_pred)] == pytest.approx(values.max(), abs=2e-3)
+            assert r.known == pytest.approx(len(own & every) / len(own), abs=1e-6)
+            checked += 1
+    assert checked > 40
+
+
+def test_grams_with_taken_slots():
+    rng = np.random.default_rng(2)
+    codes = np.unique(rng.integers(1, 1 << 62, 20_000).astype(np.uint64))
+    grams = language.Grams(codes)
+    assert len(grams.rest)
+    asked = np.concatenate((codes[::3], rng.integers(1, 1 << 62, 5_000).astype(np.uint64)))
+    places, unknown = grams.split(asked)
+    assert sorted(grams.codes[places]) == sorted(codes[::3])
+    assert len(unknown) == 5_000
+
+
+def test_language_of_long_texts_and_repeated_rows(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL")
+    want = {r.row.doc_id: (r.lang_pred, r.score) for r in language.identify(docs).collect()}
+    monkeypatch.setattr(language, "PIECE", 100)
+    found = language.identify(docs.unionByName(docs)).collect()
+    assert len(found) == 2 * docs.count()
+    model = {}
+    for r in found:
+        assert model.setdefault(r.row.doc_id, (r.lang_pred, r.score)) == (r.lang_pred, r.score)
+    assert sum(model[k][0] == want[k][0] for k in want) >= 0.99 * len(want)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>"</p>"</script></head>
 <body><header>Site</header><nav><ul><li><a href="/a">A</a></ul></nav><div class="ad">Buy</div>
 <article><h1>Head &amp; line</h1><p><b>One  two&nbsp;three<br><p>Four &lt;five&gt; &amp six</p>
