@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from logweir.llm import bpe, common, jaccard, language, lines, mixing
 
 # Share of a text's distinct n-grams that some landmark must hold. Texts of a learned language hold
-# few others (held-out documents at sf0.1 have 0.67 at least), texts of another script hardly any known ones.
+# few others (held-out documents at sf0.1 have 0.67 at least), texts of another script hardly any
+# known ones.
 LEAST_KNOWN = 0.5
 # SQL can express neither the language model nor the tokenizer.
 ORACLE_SQL = None
