@@ -12,15 +12,20 @@ dirty          the events with broken headers, odd zones, CRLF ends and broken J
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir import fixed
+from logweir.operators.numbering import broadcast_if_small
 from logweir.plans.logset import LogSet, open_logs
 from logweir.plans.session import new_folder
+from logweir.sources.files import spread
 from logweir.sources.sinks import in_line_order, write_logs
 from logweir.sources.storage import list_folder_times, locate
 
@@ -181,9 +186,98 @@ def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _TABLES[key]
 
 
+# Lines of a chunk: a published log is dealt to tasks by whole chunks.
+CHUNK_LINES = 1 << 13
+# Text that a task publishes.
+PUBLISH_BYTES = 32 * 1024 * 1024
+
+
 def publish(lines: DataFrame, folder: str) -> None:
     """Put logs ``file, line_number, value`` into a folder as plain files, as a log writer
-    would. A file appears whole, so a repeated task only writes the same file again."""
+    would. A file appears whole, so a repeated task only writes the same bytes again.
+
+    Where a log is one file that takes writes at any place, many tasks write it: the lines are
+    scanned for the bytes of each chunk of line numbers, and a task then writes its chunks at
+    their places. Other storage has no such writes; there one task writes a log, line by line.
+    """
+    files, root = locate(folder)
+    if not isinstance(files, pafs.LocalFileSystem):
+        return _publish_by_log(lines, folder)
+    placed, sizes = in_places(lines)
+    _run(placed.mapInArrow(_write_places(root), "done boolean"))
+    _run(spread(sizes, "file").mapInArrow(_show(root), "done boolean"))
+
+
+def in_places(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines ``file, place, value`` dealt to tasks by PUBLISH_BYTES, in line order, with the byte at
+    which their chunk starts in its log; and ``file, size`` of the logs."""
+    chunked = lines.select(
+        "file", F.floor(F.col("line_number") / CHUNK_LINES).alias("chunk"), "line_number",
+        F.col("value").cast("binary").alias("value"))
+    kept = new_folder(lines.sparkSession, "chunks")
+    chunked.groupBy("file", "chunk").agg(
+        F.sum(F.octet_length("value") + 1).alias("n_bytes")).write.parquet(kept)
+    chunks = lines.sparkSession.read.parquet(kept)
+    sizes = chunks.groupBy("file").agg(F.sum("n_bytes").alias("size"))
+    # One row per log.
+    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(
+        Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.coalesce(F.sum("n_bytes").over(Window.partitionBy("file").orderBy("chunk").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    placed = chunks.withColumn("place", place).join(starts, "file").select(
+        "file", "chunk", "place",
+        F.floor((F.col("start") + F.col("place")) / PUBLISH_BYTES).cast("int").alias("task"))
+    total = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    dealt = chunked.join(broadcast_if_small(placed, total[0]), ["file", "chunk"]).repartitionById(
+        total[1] // PUBLISH_BYTES + 1, "task").sortWithinPartitions("file", "line_number")
+    return dealt.select("file", "place", "value"), sizes
+
+
+def _run(rows: DataFrame) -> None:
+    rows.write.format("noop").mode("overwrite").save()
+
+
+def _write_places(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes values into hidden files from their chunk's place on."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(root, exist_ok=True)
+        at, out = None, None
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("file", "place", "value")))
+            for (file, place), run in groupby(rows, key=lambda row: row[:2]):
+                if at is None or at[0] != file:
+                    if out is not None:
+                        out.close()
+                    out = open(os.open(f"{root}/.{file}", os.O_WRONLY | os.O_CREAT, 0o666), "wb")
+                if at != (file, place):
+                    out.seek(place)
+                out.writelines(row[2] + b"\n" for row in run)
+                at = file, place
+        if out is not None:
+            out.close()
+        yield from ()
+
+    return write
+
+
+def _show(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gives the hidden files their names. What an earlier try left behind their end goes."""
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                hidden, name = f"{root}/.{row['file']}", f"{root}/{row['file']}"
+                if os.path.exists(hidden):  # else a repeated task
+                    os.truncate(hidden, row["size"])
+                    os.replace(hidden, name)
+        yield from ()
+
+    return show
+
+
+def _publish_by_log(lines: DataFrame, folder: str) -> None:
+    """The same by one task a log."""
     root = locate(folder)[1]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
