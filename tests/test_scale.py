@@ -33,3 +33,12 @@ def test_one_log_is_published_by_many_tasks(spark, tmp_path, monkeypatch):
         assert found == {
             "a.log": "".join(v + "\n" for v in [*texts["a.log"], "é" * 5]).encode(),
             "b.log": b"\nonly\r\n"}
+
+
+def test_python_holds_a_piece_of_a_json_batch(monkeypatch):
+    monkeypatch.setattr(json_walk, "PIECE_BYTES", 100)
+    texts = ["x" * 30, None, "y" * 250, "", "z" * 30] * 3
+    pieces = json_walk.in_pieces(json_walk.dump, pa.string())
+    out = list(pieces(iter([pa.array(texts), pa.array(["w"])])))
+    assert pa.chunked_array(out).to_pylist() == [json_walk.dump(t) for t in [*texts, "w"]]
+    assert len(out) > 6
