@@ -50,6 +50,13 @@ class ByteRange(InputPartition):
     skip_to_line: bool
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    ranges: list[ByteRange]
+
+
 class TailSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -62,7 +69,8 @@ class TailSource(DataSource):
         known = self.options.get("known")
         return TailReader(
             self.options["path"], int(self.options.get("chunkBytes", CHUNK_BYTES)),
-            json.loads(read_text(known).splitlines()[-1]) if known else {})
+            json.loads(read_text(known).splitlines()[-1]) if known else {},
+            int(self.options.get("tasks", 0)))
 
 
 def _hash(*parts: bytes) -> str:
@@ -136,11 +144,15 @@ class Homeless:
 
 
 class TailReader(DataSourceStreamReader):
-    """``known`` are the offsets that the query starts or goes on from."""
+    """``known`` are the offsets that the query starts or goes on from. More ranges than ``tasks``
+    are read several by a task; 0 stands for a task for each."""
 
-    def __init__(self, folder: str, chunk_bytes: int, known: dict | None = None) -> None:
+    def __init__(
+        self, folder: str, chunk_bytes: int, known: dict | None = None, tasks: int = 0
+    ) -> None:
         self.folder = folder.rstrip("/")
         self.chunk_bytes = chunk_bytes
+        self.tasks = tasks
         self.first = dict(known or {})
         self.seen: dict[str, dict] = dict(self.first)
         # Size and time of change at the last look, where that left the offset as it was.
@@ -212,7 +224,7 @@ class TailReader(DataSourceStreamReader):
             pass  # gone in the meantime
         return None
 
-    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
+    def partitions(self, start: dict, end: dict) -> list[ByteRange | ByteRanges]:
         ranges: list[ByteRange] = []
         before = {log["id"]: (name, log) for name, log in start.items()}
         for name, now in sorted(end.items()):
@@ -228,9 +240,13 @@ class TailReader(DataSourceStreamReader):
                         min(cut + self.chunk_bytes, now["end"]), now["end"], cut > first,
                     )
                 )
-        return ranges
+        return in_tasks(ranges, self.tasks) if 0 < self.tasks < len(ranges) else ranges
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | ByteRanges) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges if isinstance(partition, ByteRanges) else [partition]:
+            yield from self._read(part)
+
+    def _read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         lines = read_lines(partition)
         if partition.start == partition.range_end:
             lines = [None]  # an emptied or renamed log: one marker row says so
@@ -248,6 +264,21 @@ class TailReader(DataSourceStreamReader):
         )
 
 
+def in_tasks(ranges: list[ByteRange], tasks: int) -> list[ByteRanges]:
+    """Neighbouring ranges dealt to about as many tasks, or to as many as keep each at
+    CHUNK_BYTES. Opening a log counts as LOOK_BYTES."""
+    sizes = [r.end - r.start + LOOK_BYTES for r in ranges]
+    limit = min(sum(sizes) // tasks + 1, CHUNK_BYTES)
+    groups, held = [], limit
+    for one, size in zip(ranges, sizes):
+        if held + size > limit:
+            groups.append(ByteRanges([]))
+            held = 0
+        groups[-1].ranges.append(one)
+        held += size
+    return groups
+
+
 def read_lines(part: ByteRange) -> list[str]:
     """Lines that start inside the chunk; the last one may end behind it. A log that has been
     cut short since it was looked at gives no line: the next look sees the rotation."""

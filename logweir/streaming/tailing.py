@@ -391,7 +391,8 @@ def tail_writer(
     configure(spark)
     spark.dataSource.register(TailSource)
     tail = Tail(spark, out)
-    source = spark.readStream.format("logtail").option("path", path)
+    source = spark.readStream.format("logtail").option("path", path).option(
+        "tasks", str(4 * spark.sparkContext.defaultParallelism))
     if known := tail.bind(checkpoint, start):
         source = source.option("known", known)
     if chunk_bytes:

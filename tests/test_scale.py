@@ -35,6 +35,32 @@ def test_one_log_is_published_by_many_tasks(spark, tmp_path, monkeypatch):
             "b.log": b"\nonly\r\n"}
 
 
+def test_small_ranges_share_a_task(tmp_path):
+    for log in range(30):
+        (tmp_path / f"l.log.{log}").write_text("".join(f"{log} {n}\n" for n in range(log)))
+    alone = TailReader(str(tmp_path), 20)
+    offset = alone.latestOffset()
+    ranges = alone.partitions({}, offset)
+    reader = TailReader(str(tmp_path), 20, None, 6)
+    groups = reader.partitions({}, offset)
+    assert len(ranges) > 60 and len(groups) <= 7
+    assert all(isinstance(g, ByteRanges) for g in groups)
+    read = lambda parts, by: [b.to_pylist() for p in parts for b in by.read(p)]
+    assert read(groups, reader) == read(ranges, alone)
+    # Few ranges stay alone.
+    assert TailReader(str(tmp_path), 20, None, len(ranges)).partitions({}, offset) == ranges
+
+
+def test_a_tail_of_many_small_logs_runs_few_tasks(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    for log in range(60):
+        (tmp_path / "logs" / f"l.log.{log}").write_text("".join(f"{header()}\n" for _ in range(3)))
+    state = catch_up(spark, *[str(tmp_path / n) for n in ("logs", "out", "checkpoint")], chunk_bytes=50)
+    arrived = spark.read.parquet(str(tmp_path / "out" / "arrived"))
+    assert arrived.select(F.input_file_name().alias("f")).distinct().count() <= 17
+    assert state.current_entries().count() == 180
+
+
 def test_python_holds_a_piece_of_a_json_batch(monkeypatch):
     monkeypatch.setattr(json_walk, "PIECE_BYTES", 100)
     texts = ["x" * 30, None, "y" * 250, "", "z" * 30] * 3
