@@ -27,7 +27,7 @@ from logweir.plans.logset import LogSet, open_logs
 from logweir.plans.session import new_folder
 from logweir.sources.files import spread
 from logweir.sources.sinks import in_line_order, write_logs
-from logweir.sources.storage import list_folder_times, locate
+from logweir.sources.storage import list_folder_times, locate, stored_bytes
 
 EVENTS_PER_LOG = 4096
 EVENT_LEVELS = {
@@ -173,6 +173,13 @@ TEXTS = {
 }
 
 
+TABLES = {
+    "events": "events", "documents": "documents", "conversations": "conversations",
+    "crashes": "documents", "dirty": "events",
+}
+# Bytes of a table, as it is stored, that a task sorts and writes as log text.
+RENDER_BYTES = 8 * 1024 * 1024
+
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -317,9 +324,14 @@ def rename_all(folder: str, suffix: str) -> None:
 
 
 def render(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Write one log set into the shared folder and give its path."""
+    """Write one log set into the shared folder and give its path. The texts go straight into the
+    logs: one shuffle, and nothing is stored on the way."""
     folder = new_folder(spark, f"rendered-{name}")
-    write_logs(in_line_order(text_table(spark, sf_dir, name)), folder)
+    stored = stored_bytes(spark, f"{sf_dir}/{TABLES[name]}.parquet")
+    width = -(-stored // RENDER_BYTES)
+    # The session's width, which AQE may narrow, where that makes tasks small enough.
+    wide = width > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_logs(in_line_order(TEXTS[name](spark, sf_dir), width if wide else None), folder)
     return folder
 
 

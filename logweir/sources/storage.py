@@ -59,6 +59,12 @@ def kind_of(spark: SparkSession, path: str) -> str | None:
     return "file" if files.getFileStatus(target).isFile() else "folder"
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files of a folder."""
+    files, target = _hadoop(spark, path)
+    return files.getContentSummary(target).getLength()
+
+
 def list_children(spark: SparkSession, path: str, below: str | None = None) -> list[Child]:
     """The visible children of a folder, or the files in those of its folders that match
     ``below``; names as Spark's scan sees them."""

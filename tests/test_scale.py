@@ -68,3 +68,16 @@ def test_python_holds_a_piece_of_a_json_batch(monkeypatch):
     out = list(pieces(iter([pa.array(texts), pa.array(["w"])])))
     assert pa.chunked_array(out).to_pylist() == [json_walk.dump(t) for t in [*texts, "w"]]
     assert len(out) > 6
+
+
+def test_rendering_stores_no_table_and_follows_the_bytes(spark, tmp_path, monkeypatch):
+    made = spark.range(200).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("ab\n"), 5).alias("text"), F.lit("en").alias("lang"),
+        F.lit("s").alias("source"), F.lit(15).cast("bigint").alias("n_chars"))
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(render, "RENDER_BYTES", 100)
+    log = render.rendered(spark, str(tmp_path), "documents")
+    assert not [key for key in render._TABLES if key[1] == str(tmp_path)]
+    assert log.raw.select("part").distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert log.lines().count() == 200 * 10
+    assert int(spark.conf.get(session.LISTING_TASKS)) < 10000
