@@ -2,9 +2,10 @@
 
 Both tokenizers cut the same bytes, so the positions where a token of either ends cut a text
 into intervals, and each interval is one link: the one token of A and the one token of B over
-it. A first pass counts the linked id pairs task by task. The distinct pairs get a minimal
-perfect hash; the tasks' counts become dense vectors indexed by it, which are summed as a tree.
-A second pass aligns the documents again and looks up each link's count, checking the key.
+it. The texts are encoded once and their ids stored. A first pass over the ids counts the
+linked id pairs task by task. The distinct pairs get a minimal perfect hash; the tasks' counts
+become dense vectors indexed by it, which are summed as a tree. A second pass aligns the ids again
+and looks up each link's count, checking the key.
 """
 
 from __future__ import annotations
@@ -77,6 +78,8 @@ class Aligner:
             else self.b.id_to_piece(i).replace("▁", " ").encode() for i in ids]
         self.a_sizes = np.array([len(t) for t in a_bytes], dtype=np.int64)
         self.b_sizes = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
+        # Types that hold every id of A and of B.
+        self.id_kinds = [np.min_scalar_type(len(n)) for n in (self.a_sizes, self.b_sizes)]
         # An id with each of the separators that may follow it.
         self.names = [f"{i}{s}" for n, seps in ((len(a_bytes), ",|"), (len(ids), ",;"))
                       for s in seps for i in range(n)]
@@ -100,15 +103,14 @@ def _earlier(marks: np.ndarray) -> np.ndarray:
 
 
 class Aligned:
-    """Some texts, aligned: the tokens of all of them and their links, in order.
+    """Some texts, aligned from their ids: the tokens of all of them and their links, in order.
 
     ``links`` holds the id pair of each link, A's id in the upper half. Text i has the links
     ``link_bounds[i]:link_bounds[i + 1]``.
     """
 
-    def __init__(self, aligner: Aligner, texts: list[bytes]):
+    def __init__(self, aligner: Aligner, found: list[tuple[np.ndarray, np.ndarray]]):
         self.aligner = aligner
-        found = aligner.encode(texts)
         self.n_a = np.array([len(a) for a, _ in found], dtype=np.int64)
         self.n_b = np.array([len(b) for _, b in found], dtype=np.int64)
         none = [np.zeros(0, np.int32)]
@@ -167,7 +169,42 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return every, total
 
 
-def _task_counts(docs: DataFrame, text: str, tokenizers: Tokenizers) -> DataFrame:
+def encoded(docs: DataFrame, text: str, tokenizers: Tokenizers) -> DataFrame:
+    """``docs`` without the text as struct ``row``, and its ids ``a`` and ``b`` as bytes, in a table
+    that both passes read: the tokenizers run once."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    frame = docs.select(common.as_bytes(text).alias("t"), F.struct(*rest).alias("row"))
+    kind = frame.schema["row"].dataType
+    schema = pa.schema([("row", common.arrow_type(kind)), ("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = tokenizers.aligner()
+        kinds = aligner.id_kinds
+
+        def work(columns: list) -> dict:
+            texts, rows = columns
+            ids = aligner.encode(texts)
+            return {"row": rows, **{
+                c: [pair[i].astype(kinds[i]).tobytes() for pair in ids] for i, c in enumerate("ab")}}
+
+        yield from common.by_chunk(work, ["t", "row"], schema)(batches)
+
+    return common.saved(
+        frame.mapInArrow(run, f"row {kind.simpleString()}, a binary, b binary"), "token-ids")
+
+
+def _aligned(batch: pa.RecordBatch, aligner: Aligner) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
+    """Pieces of a batch of ``encoded`` rows, aligned."""
+    kinds = aligner.id_kinds
+    sizes = [sum(n) for n in zip(*(common.binary_sizes(batch.column(c)) for c in "ab"))]
+    for first, last in common.pieces(sizes):
+        part = batch.slice(first, last - first)
+        ids = ([np.frombuffer(x, kind) for x in part.column(c).to_pylist()]
+               for c, kind in zip("ab", kinds))
+        yield part, Aligned(aligner, list(zip(*ids)))
+
+
+def _task_counts(ids: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     """``pair`` and ``n``: the links of each task's documents, summed within the task."""
     schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
@@ -179,10 +216,8 @@ def _task_counts(docs: DataFrame, text: str, tokenizers: Tokenizers) -> DataFram
             return pa.RecordBatch.from_pydict(dict(zip(schema.names, (keys[0], counts[0]))), schema)
 
         for batch in batches:
-            column = batch.column(0)
-            for first, last in common.pieces(common.binary_sizes(column)):
-                texts = [t or b"" for t in column.slice(first, last - first).to_pylist()]
-                key, count = np.unique(Aligned(aligner, texts).links, return_counts=True)
+            for _, found in _aligned(batch, aligner):
+                key, count = np.unique(found.links, return_counts=True)
                 keys.append(key)
                 counts.append(count)
                 held += len(key)
@@ -197,7 +232,7 @@ def _task_counts(docs: DataFrame, text: str, tokenizers: Tokenizers) -> DataFram
             keys, counts = [key], [count]
             yield handed_on()
 
-    return docs.select(common.as_bytes(text).alias("t")).mapInArrow(run, "pair bigint, n bigint")
+    return ids.select("a", "b").mapInArrow(run, "pair bigint, n bigint")
 
 
 def _slice_of(pairs, slices: int):
@@ -330,8 +365,8 @@ class PairCounts:
 class Pairs:
     """The linked pairs of a corpus: counted rows in a table, and slices of their index."""
 
-    def __init__(self, docs: DataFrame, text: str, tokenizers: Tokenizers):
-        self.counted = common.saved(_task_counts(docs, text, tokenizers), "pairs")
+    def __init__(self, ids: DataFrame, tokenizers: Tokenizers):
+        self.counted = common.saved(_task_counts(ids, tokenizers), "pairs")
         self.distinct = common.saved(self.counted.select("pair").distinct(), "pair-keys")
         self.slices = max(1, -(-self.distinct.count() // SLICE_PAIRS))
 
@@ -353,7 +388,8 @@ class Pairs:
 
 def pair_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
     """How many links of the corpus hold each id pair, as ``a``, ``b``, ``n``."""
-    return Pairs(docs, text, Tokenizers(docs.sparkSession, path_a, path_b)).table()
+    tokenizers = Tokenizers(docs.sparkSession, path_a, path_b)
+    return Pairs(encoded(docs, text, tokenizers), tokenizers).table()
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
@@ -364,15 +400,14 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Data
     ``count_sum`` sums the pairs' counts over the links; ``groups`` lists the ids of each group.
     Texts that are null, empty or not spelt exactly by both tokenizers have zeros and ``''``.
     Repeated rows count each; an empty table gives no rows; other columns travel inside the
-    struct. A text is aligned whole, in one task. Up to ``SLICE_PAIRS`` pairs are looked up in
+    struct. A text is aligned whole, in one task, and encoded once: its ids are stored. Up to ``SLICE_PAIRS`` pairs are looked up in
     the second pass; where there are more, it hands on its links, and each further slice of
     pairs is one more pass over these. All pairs of an id of B share a slice.
     """
     tokenizers = Tokenizers(docs.sparkSession, path_a, path_b)
-    pairs = Pairs(docs, text, tokenizers)
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    frame = docs.select(common.as_bytes(text).alias("t"), F.struct(*rest).alias("row"))
-    kind = frame.schema["row"].dataType
+    ids = encoded(docs, text, tokenizers)
+    pairs = Pairs(ids, tokenizers)
+    kind = ids.schema["row"].dataType
     more = pairs.slices > 1
     fields = [("row", common.arrow_type(kind)), *[(c, pa.int64()) for c in _COUNTS],
               ("groups", pa.string())] + [("links", pa.binary())] * more
@@ -383,21 +418,19 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, table = tokenizers.aligner(), counts.get()
+        for batch in batches:
+            for part, found in _aligned(batch, aligner):
+                best, total = table.sums(
+                    found.links, np.ones(len(found.links), np.int64), found.link_bounds)
+                held = {"links": [_packed(found.links[a:b]) for a, b in zip(
+                    found.link_bounds, found.link_bounds[1:])]} if more else {}
+                yield pa.RecordBatch.from_pydict(
+                    {"row": part.column("row"), "n_a": found.n_a, "n_b": found.n_b,
+                     "n_groups": found.n_groups, "n_links": np.diff(found.link_bounds),
+                     "n_best": best, "count_sum": total, "groups": found.groups(), **held},
+                    schema=schema)
 
-        def work(columns: list) -> dict:
-            texts, rows = columns
-            found = Aligned(aligner, texts)
-            best, total = table.sums(
-                found.links, np.ones(len(found.links), np.int64), found.link_bounds)
-            held = {"links": [_packed(found.links[a:b]) for a, b in zip(
-                found.link_bounds, found.link_bounds[1:])]} if more else {}
-            return {"row": rows, "n_a": found.n_a, "n_b": found.n_b, "n_groups": found.n_groups,
-                    "n_links": np.diff(found.link_bounds), "n_best": best, "count_sum": total,
-                    "groups": found.groups(), **held}
-
-        yield from common.by_chunk(work, ["t", "row"], schema)(batches)
-
-    found = frame.mapInArrow(run, ddl)
+    found = ids.mapInArrow(run, ddl)
     for number in range(1, pairs.slices):
         found = common.saved(found, "aligned").mapInArrow(
             _further(pairs.slice(number), schema), ddl)

@@ -107,6 +107,24 @@ def test_alignment_equals_loops(spark, paths, monkeypatch, slices):
     assert pairs == counts
 
 
+def test_texts_are_encoded_once(spark, paths, monkeypatch, tmp_path):
+    """Both passes work on stored ids; the tokenizers see each text a single time."""
+    encode = alignment.Aligner.encode
+
+    def counted(self, texts):
+        with open(tmp_path / "seen", "a") as seen:
+            seen.write(f"{len(texts)}\n")
+        return encode(self, texts)
+
+    monkeypatch.setattr(alignment.Aligner, "encode", counted)
+    monkeypatch.setattr(common, "once", lambda key, make: make())
+    texts = ["one two", None, "", "three four five", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2)
+    rows = alignment.align(docs, *paths).collect()
+    assert sum(r.n_links > 0 for r in rows) == 3 and len(rows) == 5
+    assert sum(map(int, (tmp_path / "seen").read_text().split())) == len(texts)
+
+
 def test_empty_table(spark, paths):
     docs = spark.createDataFrame([], "doc_id int, text string")
     assert alignment.align(docs, *paths).collect() == []
