@@ -442,3 +442,33 @@ def test_neighbours_of_a_vector_alone_in_its_leaves(spark):
         "node bigint, short binary")
     listed = neighbours.first_lists(nodes, len(rows), 64).where("node = 1000")
     assert listed.count() > 0
+
+
+def _graph_nodes(spark, vectors):
+    rows = [(i, i, bytearray(v.astype(np.float64).tobytes()),
+             bytearray(neighbours._short(v[None, :])[0].tobytes())) for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "node bigint, least bigint, vec binary, short binary")
+
+
+def test_lists_are_widened_until_a_sample_of_the_queries_is_found(spark):
+    rng = np.random.default_rng(5)
+    nodes = _graph_nodes(spark, rng.standard_normal((1500, 32)))
+    queries = nodes.where("node % 10 = 0").select(F.col("node").alias("query"), "vec")
+    graph, listed, recall = neighbours.fitted_graph(nodes, queries, 1500, 32, 6, listed=6)
+    assert listed > 6 and recall >= neighbours.RECALL
+    assert {len(r.ids) // 8 for r in graph.select("ids").collect()} == {listed}
+
+
+def test_what_a_query_looks_at_does_not_grow_with_the_table(spark):
+    rng = np.random.default_rng(6)
+    for count in (600, 2400):
+        nodes = _graph_nodes(spark, rng.standard_normal((count, 16)))
+        queries = nodes.where("node % 50 = 0").select(F.col("node").alias("query"))
+        graph = neighbours.build_graph(nodes, count, 16, 12)
+        looked = neighbours.scored_lists(graph, queries, nodes)
+        assert looked.count() == 13 * queries.count()
+    # Vectors brought to centres: at most 96 a node, however large the table.
+    for count in (10**4, 10**6, 10**9):
+        bins = neighbours.centre_bins(count, 64, 6)
+        brought = bins * min(count, 96 * -(-count // bins))
+        assert brought <= 97 * count
