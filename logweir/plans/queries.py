@@ -15,6 +15,7 @@ from logweir.functions import json as js
 from logweir.functions import json_walk, text, times
 from logweir.operators import delete, details, slices, summaries
 from logweir.operators.filters import LogFilter
+from logweir.operators.numbering import broadcast_if_small
 from logweir.plans.logset import LogSet, logs_of_lines, logs_of_text, open_logs
 from logweir.plans.render import publish, rename_all, rendered, take_away, text_table
 from logweir.plans.session import configure, new_folder
@@ -67,6 +68,12 @@ def crashes(spark: SparkSession, sf: str) -> LogSet:
     return rendered(spark, sf, "crashes")
 
 
+def of_each_log(rows: DataFrame) -> DataFrame:
+    """One row per log, counted before it is broadcast: joined lines must not be shuffled by
+    their log."""
+    return broadcast_if_small(rows, rows.count())
+
+
 # ------------------------------------------------------------------------ scan and catalog
 
 
@@ -512,7 +519,7 @@ def _looks(spark: SparkSession, sf: str) -> tuple[str, DataFrame, DataFrame]:
     look ends in the middle of every log, mostly inside an entry."""
     log = documents(spark, sf)
     half = log.row_counts().select("file", F.floor(F.col("lines_read") / 2).alias("cut"))
-    lines = log.lines().select(*KEY, "value").join(half, "file")
+    lines = log.lines().select(*KEY, "value").join(of_each_log(half), "file")
     return new_folder(spark, "tail"), lines.where(F.col("line_number") <= F.col("cut")), lines
 
 

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from logweir.functions import json_walk
-from logweir.plans import render, session
+from logweir.plans import queries, render, session
 from logweir.sources.tail import ByteRanges, TailReader
 from logweir.streaming.tailing import catch_up
 
@@ -81,3 +81,20 @@ def test_rendering_stores_no_table_and_follows_the_bytes(spark, tmp_path, monkey
     assert log.raw.select("part").distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert log.lines().count() == 200 * 10
     assert int(spark.conf.get(session.LISTING_TASKS)) < 10000
+
+
+def test_lines_of_a_log_are_not_dealt_by_their_log(spark, tmp_path, monkeypatch):
+    made = spark.range(2000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("ab\n"), 5).alias("text"), F.lit("en").alias("lang"),
+        F.lit("s").alias("source"), F.lit(15).cast("bigint").alias("n_chars"))
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(render, "RENDER_BYTES", 2000)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # sizes are only guessed from files; joins must not hang on them
+    try:
+        _, _, every = queries._looks(spark, str(tmp_path))
+        tasks = every.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 20000
+    finally:
+        spark.conf.set(limit, before)
