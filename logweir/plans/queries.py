@@ -489,7 +489,7 @@ def delete_twice(spark: SparkSession, sf: str) -> DataFrame:
     versions.delete(delete.by_filter(ERRORS))
     last = versions.delete(delete.one_entry("documents-en.log", 1))
     before = versions.open(0).row_counts().select("file", F.col("lines_read").alias("lines_before"))
-    return last.lines().select(*KEY, "value").join(before, "file")
+    return last.lines().select(*KEY, "value").join(of_each_log(before), "file")
 
 
 def entries_after_delete(spark: SparkSession, sf: str) -> DataFrame:

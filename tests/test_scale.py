@@ -89,12 +89,16 @@ def test_lines_of_a_log_are_not_dealt_by_their_log(spark, tmp_path, monkeypatch)
         F.lit("s").alias("source"), F.lit(15).cast("bigint").alias("n_chars"))
     made.write.parquet(str(tmp_path / "documents.parquet"))
     monkeypatch.setattr(render, "RENDER_BYTES", 2000)
+    monkeypatch.setattr(session, "TASK_BYTES", 50_000)  # deletes write several parts
     limit = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")  # sizes are only guessed from files; joins must not hang on them
     try:
         _, _, every = queries._looks(spark, str(tmp_path))
-        tasks = every.groupBy(F.spark_partition_id().alias("task")).count().collect()
-        assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 20000
+        for lines, n in ((every, 20000), (queries.delete_twice(spark, str(tmp_path)), None)):
+            tasks = lines.groupBy(F.spark_partition_id().alias("task"), "file").count().collect()
+            assert {r["file"] for r in tasks} == {"documents-en.log"}
+            assert len(tasks) > 1
+            assert n is None or sum(r["count"] for r in tasks) == n
     finally:
         spark.conf.set(limit, before)
