@@ -472,3 +472,60 @@ def test_what_a_query_looks_at_does_not_grow_with_the_table(spark):
         bins = neighbours.centre_bins(count, 64, 6)
         brought = bins * min(count, 96 * -(-count // bins))
         assert brought <= 97 * count
+
+
+def test_answers_come_from_walks_beyond_the_list(spark, monkeypatch):
+    """Lists that look one way along a curve: half of the nearest are on the other side."""
+    count, listed = 60, 8
+    angles = np.cumsum(np.random.default_rng(9).uniform(0.01, 0.03, count))
+    vectors = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    want = brute_nearest(rows, set(range(0, count, 10)))
+
+    def one_way(nodes, queries, count, size, keep):
+        empty = nodes.select("node", "short", "least").toArrow().sort_by("least").to_pylist()
+        lists = []
+        for at, row in enumerate(empty):
+            near = empty[at + 1 : at + 1 + listed]
+            own = np.frombuffer(row["short"], np.float32)
+            sims = [-((np.frombuffer(n["short"], np.float32) - own) ** 2).sum() for n in near]
+            lists.append((
+                row["node"], bytearray(row["short"]),
+                bytearray(np.array([n["node"] for n in near], np.int64).tobytes()),
+                bytearray(np.array(sims, np.float32).tobytes()), bytearray(len(near)), -9.0, 0))
+        return spark.createDataFrame(lists, neighbours._GRAPH_DDL), listed, 1.0
+
+    monkeypatch.setattr(neighbours, "fitted_graph", one_way)
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(frame, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in found] for q, found in want.items()}
+
+
+def test_links_travel_as_arrays_not_as_rows(spark):
+    rng = np.random.default_rng(7)
+    nodes = _graph_nodes(spark, rng.standard_normal((1200, 16)))
+    graph = neighbours.build_graph(nodes, 1200, 16, 24)
+    bins = neighbours.centre_bins(1200, 24, 4)
+    found = neighbours.descend(neighbours.widened(graph), bins, 24)
+    assert 0 < found.count() <= bins * bins
+    links = neighbours.around_nodes(graph, bins, 24, False).toArrow().to_pylist()
+    assert len(links) == bins
+    around = {}
+    for row in links:
+        members = iter(np.frombuffer(row["members"], np.int64).tolist())
+        for node, size in zip(np.frombuffer(row["ids"], np.int64).tolist(),
+                              np.frombuffer(row["sizes"], np.int32).tolist()):
+            around[node] = [next(members) for _ in range(size)]
+    back = {}
+    for r in graph.select("node", "ids").collect():
+        ids = np.frombuffer(r.ids, np.int64).tolist()
+        assert set(ids) <= set(around[r.node])
+        for i in ids:
+            back.setdefault(i, set()).add(r.node)
+        around[r.node] = set(around[r.node]) - set(ids), set(ids)
+    for node, (others, ids) in around.items():
+        assert others <= back.get(node, set())
+        assert len(others) <= 12 <= len(others | (ids & back.get(node, set()))) or (
+            back.get(node, set()) <= others | ids)
